@@ -50,6 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(symbols: np.ndarray) -> np.ndarray:
+    if symbols.dtype == np.uint8:
+        symbols = BYTE_CODES[symbols]
     out = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(symbols * _powers(len(symbols))[0][: len(symbols)], out=out[1:])
     return out
@@ -76,7 +78,7 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while i < len(starts):  # bounded stretches of the buffer
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT, "left")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        sums = prefix_sums(BYTE_CODES[data[lo:hi]])
+        sums = prefix_sums(data[lo:hi])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mix((sums[e] - sums[s]) * _powers(hi - lo)[1][s] + (e - s).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
         i = j
@@ -84,9 +86,9 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def symbols_of(kind: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a batch of texts and each document's first symbol (n + 1)."""
+    """Symbols of a batch of texts (bytes as they are, words as hashes) and each document's first symbol (n + 1)."""
     if kind == "bytes":
-        return BYTE_CODES[data], offsets
+        return data, offsets
     starts, ends, first = word_spans(data, offsets)
     return word_codes(data, starts, ends), first
 

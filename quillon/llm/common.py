@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,18 @@ def packed_row(docs: DataFrame, leave: tuple[str, ...] = ("text",)) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker's memory doesn't follow the batch's size."""
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        if not batch.num_rows:
+            yield batch
+        del batch
+        pool.release_unused()
+
+
 def text_buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row, and their n + 1 offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

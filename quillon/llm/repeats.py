@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillon.llm.anchors import _powers, anchors, mix, prefix_sums, symbols_of
-from quillon.llm.common import INNER, Scratch, packed_row, text_buffer
+from quillon.llm.common import INNER, Scratch, packed_row, sliced, text_buffer
 
 RID = f"{INNER}rid"
 #: Symbols of contexts that one block of whole keys holds.
@@ -45,7 +45,7 @@ class Windows:
 
 def _anchor_rows(plan: Windows) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             data, offsets = text_buffer(batch.column(1))
             symbols, first = symbols_of(plan.kind, data, offsets)
             doc, s, a, e, key, context = anchors(symbols, first, plan.window, plan.gram)
@@ -64,7 +64,7 @@ ANCHOR_SCHEMA = "rid long, pos long, key long, ctx long, run int, lead int"
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (second column) as zstd frames, so that a shuffle moves less; null stays null."""
     z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in sliced(batches):
         out = [None if x is None else z.compress(x.encode()) for x in batch.column(1).to_pylist()]
         columns = list(batch.columns)
         columns[1] = pa.array(out, pa.binary())
@@ -84,7 +84,7 @@ def _cut(plan: Windows) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         w = plan.window
-        for batch in batches:
+        for batch in sliced(batches, 256):
             out: dict[str, list] = {k: [] for k in ("key", "n", "rid", "pos", "run", "lead", "body", "wh")}
             hashed: list[tuple] = []
             for rid, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -125,7 +125,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str,
     names = ["key", "n", "rid", "pos", "run", "lead", "body"]
     block: dict[str, list] = {k: [] for k in names}
     held, last = 0, None
-    for batch in batches:
+    for batch in sliced(batches, 2048):
         rows = {k: batch.column(i).to_pylist() for i, k in enumerate(names)}
         for i in range(batch.num_rows):
             if held >= size and rows["key"][i] != last:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quillon.llm.common import Scratch, row_keyed
+from quillon.llm.common import Scratch, row_keyed, sliced
 from quillon.llm.repeats import Windows, by_row, merged, repeated_spans
 
 PERIOD = 31
@@ -146,7 +146,7 @@ def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], wi
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in sliced(batches):
         z, row, spans = (batch.column(i) for i in (1, 2, 3))
         kept, total, gone, runs = [], [], [], []
         for x, own in zip(z.to_pylist(), spans.to_pylist(), strict=True):

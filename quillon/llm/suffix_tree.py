@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillon.llm.common import Scratch, row_keyed
+from quillon.llm.common import Scratch, row_keyed, sliced
 from quillon.llm.repeats import Windows, by_row, merged, repeated_spans
 
 #: Suffixes in one subtree's group.
@@ -96,7 +96,7 @@ def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], wi
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in sliced(batches):
         kept, total, gone = [], [], []
         for x, own in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words = unpack.decompress(x).split() if x is not None else []
