@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import suffix_array, suffix_tree
+from quillon.llm import language, media, quality, suffix_array, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality.query,
     "op2_suffix_array_dedup": suffix_array.query,
     "op3_substring_dedup": suffix_tree.query,
+    "op5_language_id": language.query,
+    "op9_media_columns": media.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.ORACLE}
