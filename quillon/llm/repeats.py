@@ -8,8 +8,10 @@ Shared by the suffix-array and the suffix-tree deduplication. Stages:
    context, all its windows repeat, and no text has to be compared;
 3. the contexts of other keys are cut from their texts, one for each class of
    equal contexts, and compared by the operator's own index, in blocks of whole
-   keys that fit in memory. A key with more than `hot` contexts is split by the
-   hash of its windows and counted natively instead: same answer, no cap.
+   keys that fit in memory. A key with more than `hot` contexts is dealt over
+   several blocks; what these don't settle among their own contexts, one row
+   for each distinct window, is then counted over all of them natively by the
+   window's hash: same answer, no cap.
 
 Spans are half-open ranges of symbols (bytes or words) in a row's text.
 """
@@ -79,81 +81,92 @@ def squeezed(keyed: DataFrame, with_row: bool) -> DataFrame:
 
 
 def _cut(plan: Windows) -> Callable:
-    """Contexts of a document's listed classes: whole, or as hashed windows where the key is hot."""
+    """Contexts of a document's listed classes, as bytes or hashed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        w = plan.window
         for batch in sliced(batches, 256):
-            out: dict[str, list] = {k: [] for k in ("key", "n", "rid", "pos", "run", "lead", "body", "wh")}
-            hashed: list[tuple] = []
+            out: dict[str, list] = {k: [] for k in ("key", "chunk", "n", "pos", "run", "lead", "rid", "body")}
             for rid, z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = np.frombuffer(unpack.decompress(z), np.uint8)
-                symbols, _ = symbols_of(plan.kind, raw, np.array([0, len(raw)]))
-                body = raw if plan.kind == "bytes" else symbols
+                body = symbols_of(plan.kind, raw, np.array([0, len(raw)]))[0]
                 for x in wanted:
-                    lo, hi = x["pos"], x["pos"] + x["run"] + w
-                    if x["hot"]:
-                        sums, m = prefix_sums(symbols[lo:hi]), x["run"] + 1
-                        inside = mix((sums[w : w + m] - sums[:m]) * _powers(hi - lo)[1][:m] + (x["lead"] - np.arange(m)).astype(np.uint64))
-                        hashed.append((rid, x["key"], x["n"], lo, inside.view(np.int64)))
-                        continue
-                    for k in ("key", "n", "pos", "run", "lead"):
+                    for k in ("key", "chunk", "n", "pos", "run", "lead"):
                         out[k].append(x[k])
                     out["rid"].append(rid)
-                    out["body"].append(body[lo:hi].tobytes())
-                    out["wh"].append(None)
-            arrays = [pa.array(out[k], t) for k, t in (("key", pa.int64()), ("n", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("run", pa.int32()), ("lead", pa.int32()), ("body", pa.binary()), ("wh", pa.int64()))]
-            names = ["key", "n", "rid", "pos", "run", "lead", "body", "wh"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-            if hashed:
-                m = [len(x[4]) for x in hashed]
-                total = sum(m)
-                rep = lambda k: np.repeat(np.array([x[k] for x in hashed], np.int64), m)  # noqa: E731, B023
-                pos = np.concatenate([x[3] + np.arange(len(x[4])) for x in hashed])
-                zero = pa.array(np.zeros(total, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(rep(1)), pa.array(rep(2)), pa.array(rep(0)), pa.array(pos), zero, zero, pa.nulls(total, pa.binary()), pa.array(np.concatenate([x[4] for x in hashed]))], names=names)
+                    out["body"].append(body[x["pos"] : x["pos"] + x["run"] + plan.window].tobytes())
+            arrays = [pa.array(v, pa.binary() if k == "body" else pa.int64()) for k, v in out.items()]
+            yield pa.RecordBatch.from_arrays(arrays, names=list(out))
 
     return run
 
 
-CUT_SCHEMA = "key long, n long, rid long, pos long, run int, lead int, body binary, wh long"
+CUT_SCHEMA = "key long, chunk long, n long, pos long, run long, lead long, rid long, body binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str, list]]:
-    """Rows sorted by key as blocks of whole keys."""
-    names = ["key", "n", "rid", "pos", "run", "lead", "body"]
+    """Rows sorted by key and chunk as blocks of whole chunks."""
+    names = CUT_SCHEMA.split(" ")[::2]
     block: dict[str, list] = {k: [] for k in names}
     held, last = 0, None
     for batch in sliced(batches, 2048):
         rows = {k: batch.column(i).to_pylist() for i, k in enumerate(names)}
         for i in range(batch.num_rows):
-            if held >= size and rows["key"][i] != last:
+            if held >= size and (rows["key"][i], rows["chunk"][i]) != last:
                 yield block
                 block, held = {k: [] for k in names}, 0
             for k in names:
                 block[k].append(rows[k][i])
-            held, last = held + len(rows["body"][i]), rows["key"][i]
+            held, last = held + len(rows["body"][i]), (rows["key"][i], rows["chunk"][i])
     if block["key"]:
         yield block
 
 
+def _unsettled(row: np.ndarray, offset: np.ndarray, tied: np.ndarray, first: np.ndarray, body: np.ndarray, base: np.ndarray, sizes: np.ndarray, cols: dict, window: int):
+    """One row for each distinct window of the dealt-out keys: (key, window's hash, times seen, rid, pos)."""
+    open_ = cols["chunk"][row] >= 0
+    single = open_ & ~tied
+    many = open_ & first
+    w = np.flatnonzero(single | many)
+    out = np.zeros(len(w), np.uint64)
+    rows, starts = np.unique(row[w], return_index=True)  # row ascends
+    for r, i, j in zip(rows, starts, [*starts[1:], len(w)], strict=True):
+        own = slice(i, j)
+        sums = prefix_sums(body[base[r] : base[r] + sizes[r]])
+        o = offset[w][own]
+        out[own] = mix((sums[o + window] - sums[o]) * _powers(len(sums))[1][o] + (cols["lead"][r] - o).astype(np.uint64))
+    n = np.where(many[w], 2, cols["n"][row[w]])
+    return cols["key"][row[w]], out.view(np.int64), n, cols["rid"][row[w]], cols["pos"][row[w]] + offset[w]
+
+
 def _resolved(plan: Windows, resolve: Callable) -> Callable:
+    names = ["rid", "s", "e", "key", "wh", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = 1 if plan.kind == "bytes" else 8
         for block in _blocks(batches, BLOCK * (1 if unit == 1 else 4)):
             sizes = np.array([len(b) // unit for b in block["body"]], np.int64)
+            base = np.cumsum(sizes) - sizes
             body = np.frombuffer(b"".join(block["body"]), np.uint8 if unit == 1 else np.uint64)
-            cols = {k: np.array(block[k], np.int64) for k in ("n", "rid", "pos", "run", "lead")}
-            row, offset = resolve(body, sizes, cols, plan.window)  # repeated windows, sorted
-            if not len(row):
+            cols = {k: np.array(block[k], np.int64) for k in ("key", "chunk", "n", "rid", "pos", "run", "lead")}
+            count = cols["run"] + 1
+            row = np.repeat(np.arange(len(count)), count)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            hit, tied, first = resolve(body, sizes, cols, row, offset, plan.window)
+            if (cols["chunk"] >= 0).any():
+                key, wh, n, rid, pos = _unsettled(row, offset, tied, first, body, base, sizes, cols, plan.window)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, pos, pos + plan.window, key, wh, n)], names=names)
+            at = np.flatnonzero(hit)
+            if not len(at):
                 continue
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
+            r, o = row[at], offset[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)
             starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(row)) - 1
-            r = row[starts]
-            yield pa.RecordBatch.from_arrays([pa.array(cols["rid"][r]), pa.array(cols["pos"][r] + offset[starts]), pa.array(cols["pos"][r] + offset[ends] + plan.window)], names=["rid", "s", "e"])
+            ends = np.append(starts[1:], len(at)) - 1
+            pos = cols["pos"][r[starts]]
+            none = pa.nulls(len(starts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cols["rid"][r[starts]]), pa.array(pos + o[starts]), pa.array(pos + o[ends] + plan.window), none, none, none], names=names)
 
     return run
 
@@ -170,6 +183,7 @@ def repeated_spans(keyed: DataFrame, plan: Windows, resolve: Callable, scratch:
     if plan.keep_first:
         aggs.append(F.min(F.struct("rid", "pos")).alias("first"))
     keys = found.groupBy("key").agg(*aggs).where("n >= 2").withColumn("mixed", F.expr("lo <> hi")).drop("n", "lo", "hi")
+    keys = scratch.save(keys, "keys")  # a table of its own, so that the join's hot keys can be split
     held = scratch.save(found.join(keys, "key"), "occurrences")
 
     span = [F.col("rid"), F.col("pos").alias("s"), (F.col("pos") + F.col("run") + w).alias("e")]
@@ -186,18 +200,18 @@ def repeated_spans(keyed: DataFrame, plan: Windows, resolve: Callable, scratch:
     open_keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
     if not plan.keep_first:
         open_keys = open_keys.where("least = 1")
-    wanted = classes.join(open_keys, "key").select("first.rid", F.struct("key", "n", "first.pos", "first.run", "first.lead", (F.col("m") > plan.hot).alias("hot")).alias("x"))
+    chunk = F.when(F.col("m") > plan.hot, F.pmod(F.xxhash64("first.rid", "first.pos"), F.expr(f"cast(ceil(m / {plan.hot}) as bigint)"))).otherwise(-1)
+    wanted = classes.join(open_keys, "key").select("first.rid", F.struct("key", chunk.alias("chunk"), "n", "first.pos", "first.run", "first.lead").alias("x"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
     cut = squeezed(keyed, False).join(wanted, "rid").select("rid", "z", "wanted").mapInArrow(_cut(plan), CUT_SCHEMA)
-    cut = scratch.save(cut, "contexts")
-
-    by_block = cut.where("body is not null").select("key", "n", "rid", "pos", "run", "lead", "body")
-    by_block = by_block.repartition("key").sortWithinPartitions("key").mapInArrow(_resolved(plan, resolve), SPAN_SCHEMA)
-    hot = cut.where("wh is not null").select("key", "wh", "n", "rid", "pos")
-    met = hot.groupBy("key", "wh").agg(F.sum("n").alias("all"), F.min(F.struct("rid", "pos")).alias("first")).where("all >= 2")
-    met = hot.join(met, ["key", "wh"])
-    met = met.where(later if plan.keep_first else "n = 1").select("rid", F.col("pos").alias("s"), (F.col("pos") + w).alias("e"))
-    return spans.unionByName(by_block).unionByName(met)
+    settled = cut.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_resolved(plan, resolve), SPAN_SCHEMA + ", key long, wh long, n long")
+    settled = scratch.save(settled, "settled")
+
+    spans = spans.unionByName(settled.where("key is null").select("rid", "s", "e"))
+    rest = settled.where("key is not null").withColumnRenamed("s", "pos")
+    met = rest.groupBy("key", "wh").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("rid", "pos")).alias("first")).where("rows >= 2")
+    met = rest.join(met, ["key", "wh"])
+    return spans.unionByName(met.where(later if plan.keep_first else "n = 1").select("rid", F.col("pos").alias("s"), "e"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

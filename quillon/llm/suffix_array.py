@@ -122,26 +122,23 @@ def sorted_ties(text: np.ndarray, suffixes: np.ndarray, window: int, bucket: int
         i = j
 
 
-def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of the windows of once-seen contexts that another context of the block has.
+def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], row: np.ndarray, offset: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window (row, offset) of the block's contexts: whether it is in a
+    once-seen context and equal to one of another context; whether it is equal to
+    any; whether it is the first of such equals.
 
     Contexts are laid out so that anchors stand at residue 0: equal windows lie
     alike around their anchor, so they tie at equal residues.
     """
-    lead, count = cols["lead"], cols["run"] + 1
     room = -(-(sizes + PERIOD) // PERIOD) * PERIOD + PERIOD
-    base = np.concatenate([[0], np.cumsum(room)[:-1]]) + (-lead) % PERIOD
+    base = np.cumsum(room) - room + (-cols["lead"]) % PERIOD
     text = np.zeros(int(room.sum()) + PERIOD, np.uint8)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    text[np.arange(len(body)) + np.repeat(base - first, sizes)] = body
-    row = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    hit = [g[0] for g in sorted_ties(text, base[row] + offset, window)]
-    if not hit:
-        return row[:0], offset[:0]
-    hit = np.sort(np.concatenate(hit))
-    hit = hit[cols["n"][row[hit]] == 1]
-    return row[hit], offset[hit]
+    text[np.arange(len(body)) + np.repeat(base - (np.cumsum(sizes) - sizes), sizes)] = body
+    tied, first = np.zeros(len(row), bool), np.zeros(len(row), bool)
+    for own, group in sorted_ties(text, base[row] + offset, window):
+        tied[own] = True
+        first[own[np.concatenate([[True], group[1:] != group[:-1]])]] = True
+    return tied & (cols["n"][row] == 1), tied, first
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,23 +75,19 @@ def deep_nodes(text: np.ndarray, suffixes: np.ndarray, depth: int, most: int = G
             yield own[order][several], node[several]
 
 
-def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of the windows that start earlier in another context of the block."""
-    count = cols["run"] + 1
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    row = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    hit = []
-    for leaves, node in deep_nodes(body, first[row] + offset, window):
+def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], row: np.ndarray, offset: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window (row, offset) of the block's contexts: whether an equal one
+    starts earlier; whether it has an equal; whether it is the earliest of its equals.
+    """
+    hit, first = np.zeros(len(row), bool), np.zeros(len(row), bool)
+    for leaves, node in deep_nodes(body, (np.cumsum(sizes) - sizes)[row] + offset, window):
         r = row[leaves]
         order = np.lexsort((cols["pos"][r] + offset[leaves], cols["rid"][r], node))
-        repeat = np.zeros(len(order), bool)
-        repeat[1:] = node[order][1:] == node[order][:-1]
-        hit.append(leaves[order][repeat])
-    if not hit:
-        return row[:0], offset[:0]
-    hit = np.sort(np.concatenate(hit))
-    return row[hit], offset[hit]
+        own, under = leaves[order], node[order]
+        again = np.concatenate([[False], under[1:] == under[:-1]])
+        hit[own[again]] = True
+        first[own[~again]] = True
+    return hit, hit | first, first
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
