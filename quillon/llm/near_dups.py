@@ -231,7 +231,9 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = Fal
     links = _links(keyed, later, similar, weighted, 2 * NEIGHBOURS)
     all_links = components(first.unionByName(links), scratch, "b")
     root = all_links.withColumnRenamed("hi", "rep")
-    return keyed, members.join(root, "rep", "left").select("rid", F.coalesce("lo", "rep").alias("class"))
+    classes = scratch.save(members.join(root, "rep", "left").select("rid", F.coalesce("lo", "rep").alias("class")), "result")
+    scratch.drop("features", "members", "met", "later")
+    return keyed, classes
 
 
 def near_dups(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:

@@ -60,12 +60,12 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(some)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs' other columns as `row`, the host, and the measures of each whole text."""
+def measured(docs: DataFrame, leave: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs' columns but those left out as `row`, the host, and the measures of each whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    df = docs.select(packed_row(docs).alias("row"), host.alias("host"), text.alias("text"))
+    df = docs.select(packed_row(docs, leave).alias("row"), host.alias("host"), text.alias("text"))
     df = df.select(
         "row",
         "host",
@@ -112,6 +112,17 @@ def quality_rules(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     return out.withColumn("kept", kept)
 
 
+def good_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """`row` (all columns, text too) of the documents that quality_rules keeps.
+
+    Only documents near a limit meet their hosts' verdicts, so no other text is shuffled.
+    """
+    rows = Scratch(docs.sparkSession, "quality").save(measured(docs, ()).withColumn("doubtful", soft_failed(2)), "measured")
+    hosts = host_rates(rows.select("host", "any_failed")).where(F.col("host_rate") >= host_limit).select("host")
+    sound = rows.where("not base_failed and not doubtful").select("row")
+    return sound.unionByName(rows.where("not base_failed and doubtful").join(hosts, "host", "left_anti").select("row"))
+
+
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed", "host_suspect"]
 
 

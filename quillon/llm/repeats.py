@@ -211,7 +211,10 @@ def repeated_spans(keyed: DataFrame, plan: Windows, resolve: Callable, scratch:
     rest = settled.where("key is not null").withColumnRenamed("s", "pos")
     met = rest.groupBy("key", "wh").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("rid", "pos")).alias("first")).where("rows >= 2")
     met = rest.join(met, ["key", "wh"])
-    return spans.unionByName(met.where(later if plan.keep_first else "n = 1").select("rid", F.col("pos").alias("s"), "e"))
+    spans = spans.unionByName(met.where(later if plan.keep_first else "n = 1").select("rid", F.col("pos").alias("s"), "e"))
+    spans = scratch.save(spans, "spans")
+    scratch.drop("keys", "occurrences", "classes", "settled")
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -17,15 +17,16 @@ pass through whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from quillon.llm.common import Scratch, row_keyed, sliced
+from quillon.llm.common import Scratch, row_keyed, sliced, table
 from quillon.llm.repeats import Windows, by_row, merged, repeated_spans
 
 PERIOD = 31
@@ -141,7 +142,7 @@ def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], ro
     return tied & (cols["n"][row] == 1), tied, first
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in sliced(batches):
         z, row, spans = (batch.column(i) for i in (1, 2, 3))
@@ -157,21 +158,20 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(raw))
             gone.append(len(raw) - len(kept[-1]))
             runs.append(len(cuts))
-        yield pa.RecordBatch.from_arrays([row, pa.array(kept, pa.binary()), *[pa.array(v, pa.int64()) for v in (total, gone, runs)]], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+        kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        yield pa.RecordBatch.from_arrays([row, kept, *[pa.array(v, pa.int64()) for v in (total, gone, runs)]], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 56, hot: int = 256) -> DataFrame:
-    """One row per document: row (its other columns), kept (bytes), n_bytes, n_removed, n_spans."""
+def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 56, hot: int = 256, as_text: bool = False) -> DataFrame:
+    """One row per document: row (its other columns), kept (bytes, or a string of its whole characters), n_bytes, n_removed, n_spans."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     keyed, _ = row_keyed(docs, scratch)
     spans = repeated_spans(keyed, Windows("bytes", window, gram, False, hot), resolve, scratch)
     rows = by_row(keyed, spans)
-    out = [StructField("row", rows.schema["row"].dataType), StructField("kept", BinaryType()), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
-    return rows.mapInArrow(_apply, StructType(out))
+    out = [StructField("row", rows.schema["row"].dataType), StructField("kept", StringType() if as_text else BinaryType()), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
+    return rows.mapInArrow(partial(_apply, as_text=as_text), StructType(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from quillon.llm.common import table
-
     out = dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

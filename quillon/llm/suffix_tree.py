@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillon.llm.common import Scratch, row_keyed, sliced
+from quillon.llm.common import Scratch, row_keyed, sliced, table
 from quillon.llm.repeats import Windows, by_row, merged, repeated_spans
 
 #: Suffixes in one subtree's group.
@@ -118,7 +118,5 @@ def dedup_words(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 256
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from quillon.llm.common import table
-
     out = dedup_words(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
