@@ -62,7 +62,7 @@ def shingles(codes: np.ndarray) -> np.ndarray:
 def _poisson(area: float) -> np.ndarray:
     """Cumulative distribution, up to a negligible tail."""
     p, total, out, i = float(np.exp(-area)), 0.0, [], 0
-    while total < 1 - 1e-15 and i < 64:
+    while total < 1 - 1e-15 and i < 200:
         total += p
         out.append(total)
         i += 1
@@ -89,11 +89,11 @@ def darts(elements: np.ndarray, weights: np.ndarray, rank_band: tuple[int, float
     number, lo, width = rank_band
     ids, ranks = [], []
     layer, own, low, high = 0, np.arange(len(elements)), 0.0, 1.0
-    while len(own):  # layers of weight [0, 1), [1, 2), [2, 4), [4, 8) ...
+    while len(own):  # layers of weight [0, 1), [1, 2), [2, 4) ... [32, 64), [64, 96) ...
         seed = mix(np.array([(number << 16 | layer) * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64))
         h = mix(elements[own] ^ seed)
-        chunk, cdf = high - low, None
-        cdf = _poisson(min(width * chunk, 40.0))
+        chunk = high - low
+        cdf = _poisson(width * chunk)
         count = np.searchsorted(cdf, _unit(h), "right")
         hit = np.repeat(np.arange(len(own)), count)
         if len(hit):
@@ -104,7 +104,7 @@ def darts(elements: np.ndarray, weights: np.ndarray, rank_band: tuple[int, float
             below = height < weights[own][hit]
             ids.append(dart[below])
             ranks.append(rank[below])
-        layer, low, high = layer + 1, high, high * 2
+        layer, low, high = layer + 1, high, high + min(high, 32.0)
         own = own[weights[own] > low]
     return (np.concatenate(ids), np.concatenate(ranks)) if ids else (np.zeros(0, np.uint64), np.zeros(0))
 

@@ -14,7 +14,7 @@ SCHEMA = "doc_id long, text string, class_id string"
 
 def test_plan_places_everything():
     rng = np.random.default_rng(1)
-    demand = {int(s): int(n) for s, n in zip(rng.choice(np.arange(1, 2049), 120, replace=False), rng.integers(1, 400, 120), strict=True)}
+    demand = {int(s): int(n) for s, n in zip(rng.choice(np.arange(1, 700), 60, replace=False), rng.integers(1, 400, 60), strict=True)}
     patterns = packing.plan(dict(demand))
     placed = {}
     for pattern, times in patterns:
