@@ -9,9 +9,10 @@ Shared by the suffix-array and the suffix-tree deduplication. Stages:
 3. the contexts of other keys are cut from their texts, one for each class of
    equal contexts, and compared by the operator's own index, in blocks of whole
    keys that fit in memory. A key with more than `hot` contexts is dealt over
-   several blocks; what these don't settle among their own contexts, one row
-   for each distinct window, is then counted over all of them natively by the
-   window's hash: same answer, no cap.
+   several blocks; what these don't settle among their own contexts, the
+   distinct windows, is then counted over all of them natively: neighbouring
+   windows travel as one row under the hash of what all of them cover, and only
+   where that repeats are they counted one by one. Same answer, no cap.
 
 Spans are half-open ranges of symbols (bytes or words) in a row's text.
 """
@@ -122,26 +123,40 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str,
         yield block
 
 
-def _unsettled(row: np.ndarray, offset: np.ndarray, tied: np.ndarray, first: np.ndarray, body: np.ndarray, base: np.ndarray, sizes: np.ndarray, cols: dict, window: int):
-    """One row for each distinct window of the dealt-out keys: (key, window's hash, times seen, rid, pos)."""
+def _step(plan: Windows) -> int:
+    """Windows that start at so many neighbouring places are sent as one piece."""
+    return max(2, (plan.window - plan.gram) // 6)
+
+
+def _unsettled(row: np.ndarray, offset: np.ndarray, tied: np.ndarray, first: np.ndarray, body: np.ndarray, base: np.ndarray, sizes: np.ndarray, cols: dict, plan: Windows) -> pa.RecordBatch | None:
+    """The distinct windows of the dealt-out keys, one row for each piece: (rid, hash of what all windows of the piece cover, windows)."""
     open_ = cols["chunk"][row] >= 0
-    single = open_ & ~tied
     many = open_ & first
-    w = np.flatnonzero(single | many)
-    out = np.zeros(len(w), np.uint64)
-    rows, starts = np.unique(row[w], return_index=True)  # row ascends
-    for r, i, j in zip(rows, starts, [*starts[1:], len(w)], strict=True):
-        own = slice(i, j)
-        sums = prefix_sums(body[base[r] : base[r] + sizes[r]])
-        o = offset[w][own]
-        out[own] = mix((sums[o + window] - sums[o]) * _powers(len(sums))[1][o] + (cols["lead"][r] - o).astype(np.uint64))
-    n = np.where(many[w], 2, cols["n"][row[w]])
-    return cols["key"][row[w]], out.view(np.int64), n, cols["rid"][row[w]], cols["pos"][row[w]] + offset[w]
+    w = np.flatnonzero((open_ & ~tied) | many)
+    if not len(w):
+        return None
+    window, step = plan.window, _step(plan)
+    r, o = row[w], offset[w]
+    ahead = cols["lead"][r] - o  # symbols from the window's start to the anchor
+    piece = ahead // step
+    own, common = np.zeros(len(w), np.uint64), np.zeros(len(w), np.uint64)
+    rows, starts = np.unique(r, return_index=True)  # row ascends
+    for k, i, j in zip(rows, starts, [*starts[1:], len(w)], strict=True):
+        sums = prefix_sums(body[base[k] : base[k] + sizes[k]])
+        back = _powers(len(sums))[1]
+        at = o[i:j]
+        own[i:j] = mix((sums[at + window] - sums[at]) * back[at] + ahead[i:j].astype(np.uint64))
+        lo = cols["lead"][k] - piece[i:j] * step
+        common[i:j] = (sums[lo + window - step + 1] - sums[lo]) * back[lo]
+    shared = mix(common ^ mix(piece.astype(np.uint64) ^ cols["key"][r].astype(np.uint64)))
+    cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (piece[1:] != piece[:-1])]))
+    windows = pa.StructArray.from_arrays([pa.array(cols["pos"][r] + o), pa.array(own.view(np.int64)), pa.array(np.where(many[w], 2, cols["n"][r]))], names=["pos", "wh", "n"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(w)).astype(np.int32)), windows)
+    none = pa.nulls(len(cut), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(cols["rid"][r[cut]]), none, none, pa.array(shared[cut].view(np.int64)), lists], names=["rid", "s", "e", "piece", "windows"])
 
 
 def _resolved(plan: Windows, resolve: Callable) -> Callable:
-    names = ["rid", "s", "e", "key", "wh", "n"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = 1 if plan.kind == "bytes" else 8
         for block in _blocks(batches, BLOCK * (1 if unit == 1 else 4)):
@@ -154,8 +169,9 @@ def _resolved(plan: Windows, resolve: Callable) -> Callable:
             offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             hit, tied, first = resolve(body, sizes, cols, row, offset, plan.window)
             if (cols["chunk"] >= 0).any():
-                key, wh, n, rid, pos = _unsettled(row, offset, tied, first, body, base, sizes, cols, plan.window)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, pos, pos + plan.window, key, wh, n)], names=names)
+                pieces = _unsettled(row, offset, tied, first, body, base, sizes, cols, plan)
+                if pieces is not None:
+                    yield pieces
             at = np.flatnonzero(hit)
             if not len(at):
                 continue
@@ -165,13 +181,15 @@ def _resolved(plan: Windows, resolve: Callable) -> Callable:
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(at)) - 1
             pos = cols["pos"][r[starts]]
-            none = pa.nulls(len(starts), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cols["rid"][r[starts]]), pa.array(pos + o[starts]), pa.array(pos + o[ends] + plan.window), none, none, none], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols["rid"][r[starts]]), pa.array(pos + o[starts]), pa.array(pos + o[ends] + plan.window), pa.nulls(len(starts), pa.int64()), pa.nulls(len(starts), WINDOWS)], names=["rid", "s", "e", "piece", "windows"]
+            )
 
     return run
 
 
-SPAN_SCHEMA = "rid long, s long, e long"
+WINDOWS = pa.list_(pa.struct([("pos", pa.int64()), ("wh", pa.int64()), ("n", pa.int64())]))
+SETTLED_SCHEMA = "rid long, s long, e long, piece long, windows array<struct<pos: long, wh: long, n: long>>"
 
 
 def repeated_spans(keyed: DataFrame, plan: Windows, resolve: Callable, scratch: Scratch) -> DataFrame:
@@ -204,16 +222,18 @@ def repeated_spans(keyed: DataFrame, plan: Windows, resolve: Callable, scratch:
     wanted = classes.join(open_keys, "key").select("first.rid", F.struct("key", chunk.alias("chunk"), "n", "first.pos", "first.run", "first.lead").alias("x"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
     cut = squeezed(keyed, False).join(wanted, "rid").select("rid", "z", "wanted").mapInArrow(_cut(plan), CUT_SCHEMA)
-    settled = cut.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_resolved(plan, resolve), SPAN_SCHEMA + ", key long, wh long, n long")
+    settled = cut.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_resolved(plan, resolve), SETTLED_SCHEMA)
     settled = scratch.save(settled, "settled")
 
-    spans = spans.unionByName(settled.where("key is null").select("rid", "s", "e"))
-    rest = settled.where("key is not null").withColumnRenamed("s", "pos")
-    met = rest.groupBy("key", "wh").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("rid", "pos")).alias("first")).where("rows >= 2")
-    met = rest.join(met, ["key", "wh"])
-    spans = spans.unionByName(met.where(later if plan.keep_first else "n = 1").select("rid", F.col("pos").alias("s"), "e"))
+    spans = spans.unionByName(settled.where("piece is null").select("rid", "s", "e"))
+    rest = settled.where("piece is not null").select("rid", "piece", "windows")
+    alike = rest.groupBy("piece").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("piece")
+    rest = scratch.save(rest.join(alike, "piece").select("rid", "piece", F.explode("windows").alias("x")).select("rid", "piece", "x.*"), "windows")
+    met = rest.groupBy("piece", "wh").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("rid", "pos")).alias("first")).where("rows >= 2")
+    met = rest.join(met, ["piece", "wh"])
+    spans = spans.unionByName(met.where(later if plan.keep_first else "n = 1").select("rid", F.col("pos").alias("s"), (F.col("pos") + w).alias("e")))
     spans = scratch.save(spans, "spans")
-    scratch.drop("keys", "occurrences", "classes", "settled")
+    scratch.drop("keys", "occurrences", "classes", "settled", "windows")
     return spans
 
 
