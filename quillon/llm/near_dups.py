@@ -45,7 +45,9 @@ SIMILAR = 0.8
 NEIGHBOURS = 4
 #: Rows of a bucket that lie in one task's sort before the bucket is split.
 SPLIT = 500
-FINEST = 2.0**-16
+FINEST = 2.0**-4
+#: Shingles of documents whose signatures are made together.
+TOGETHER = 1 << 17
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -74,22 +76,22 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(float) * 2.0**-53
 
 
-def _rank_bands(top: float) -> Iterator[tuple[int, float, float]]:
-    """(number, from, width): doubling up to rank 1, then of width 1."""
+def _rank_bands() -> Iterator[tuple[int, float, float]]:
+    """(number, from, width): doubling, then of width 16."""
     yield 0, 0.0, FINEST
     i, lo = 1, FINEST
-    while lo < top:
-        width = lo if lo < 1 else 1.0
+    while True:
+        width = min(lo, 16.0)
         yield i, lo, width
         i, lo = i + 1, lo + width
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, rank_band: tuple[int, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, rank) of the darts of one band of ranks that hit below the weights."""
+def darts(elements: np.ndarray, weights: np.ndarray, rank_band: tuple[int, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, rank, element's index) of the darts of one band of ranks that hit below the weights."""
     number, lo, width = rank_band
-    ids, ranks = [], []
+    found = []
     layer, own, low, high = 0, np.arange(len(elements)), 0.0, 1.0
-    while len(own):  # layers of weight [0, 1), [1, 2), [2, 4) ... [32, 64), [64, 96) ...
+    while len(own):  # layers of weight [0, 1), [1, 2), [2, 4) ..., of an area up to 32
         seed = mix(np.array([(number << 16 | layer) * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64))
         h = mix(elements[own] ^ seed)
         chunk = high - low
@@ -102,41 +104,53 @@ def darts(elements: np.ndarray, weights: np.ndarray, rank_band: tuple[int, float
             rank = lo + width * _unit(mix(dart ^ np.uint64(0x9FB21C651E98DF25)))
             height = low + chunk * _unit(mix(dart ^ np.uint64(0xD6E8FEB86659FD93)))
             below = height < weights[own][hit]
-            ids.append(dart[below])
-            ranks.append(rank[below])
-        layer, low, high = layer + 1, high, high + min(high, 32.0)
+            found.append((dart[below], rank[below], own[hit[below]]))
+        layer, low, high = layer + 1, high, high + min(high, max(1.0, 32.0 / width))
         own = own[weights[own] > low]
-    return (np.concatenate(ids), np.concatenate(ranks)) if ids else (np.zeros(0, np.uint64), np.zeros(0))
-
-
-def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = COORDINATES) -> np.ndarray:
-    """The least dart of each coordinate (elements: distinct hashes, at least one)."""
-    weights = np.ones(len(elements)) if weights is None else weights.astype(float)
-    top = (k * np.log(k) + 2 * k) / weights.sum()
-    best, rank_of = np.zeros(k, np.uint64), np.full(k, np.inf)
-    for band in _rank_bands(float("inf")):
-        if band[1] >= top and np.isfinite(rank_of).all():
-            return best
-        ids, ranks = darts(elements, weights, band)
-        if not len(ids):
-            continue
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray, k: int = COORDINATES) -> np.ndarray:
+    """The least dart of each coordinate, of several documents at once.
+
+    elements: distinct hashes, one document's after another's; first: where each
+    document's begin (n + 1); none is empty.
+    """
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    weights = weights.astype(float)
+    top = (k * np.log(k) + 2 * k) / np.add.reduceat(weights, first[:-1])
+    best, rank_of = np.zeros(n * k, np.uint64), np.full(n * k, np.inf)
+    unfinished = np.ones(n, bool)
+    for band in _rank_bands():
+        unfinished &= (band[1] < top) | ~np.isfinite(rank_of.reshape(n, k)).all(axis=1)
+        if not unfinished.any():
+            return best.reshape(n, k)
+        own = np.flatnonzero(unfinished[owner])
+        ids, ranks, which = darts(elements[own], weights[own], band)
         order = np.argsort(-ranks, kind="stable")  # the last written is the least
         ids, ranks = ids[order], ranks[order]
-        at = (mix(ids ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(k)).astype(np.int64)
-        new = np.full(k, np.inf)
-        new[at] = ranks
-        dart = np.zeros(k, np.uint64)
-        dart[at] = ids
+        slot = owner[own[which[order]]] * k + (mix(ids ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(k)).astype(np.int64)
+        new, dart = np.full(n * k, np.inf), np.zeros(n * k, np.uint64)
+        new[slot], dart[slot] = ranks, ids
         better = new < rank_of
         best[better], rank_of[better] = dart[better], new[better]
     raise AssertionError
 
 
+def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = COORDINATES) -> np.ndarray:
+    weights = np.ones(len(elements)) if weights is None else weights
+    return signatures(elements, weights, np.array([0, len(elements)]), k)[0]
+
+
 def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    rows = sig.reshape(bands, -1)
+    """Each document's (row's) hash of each band."""
+    rows = sig.reshape(len(sig), bands, -1)
     h = np.arange(bands, dtype=np.uint64) + np.uint64(1)
-    for c in range(rows.shape[1]):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, c])
+    for c in range(rows.shape[2]):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, :, c])
     return h.view(np.int64)
 
 
@@ -160,19 +174,20 @@ def _features(weighted: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1024):
             codes, first = symbols_of("words", *text_buffer(batch.column(1)))
-            marks, hashes, keep = [], [], []
-            for i in range(batch.num_rows):
-                own = codes[first[i] : first[i + 1]]
-                if not len(own):
-                    continue
-                el, w = weighed(own, weighted)
-                both = el + w.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-                marks.append((mix(both).sum(dtype=np.uint64), mix(both ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)))
-                hashes.append(band_hashes(signature(el, w)))
-                keep.append(i)
-            rid = np.asarray(batch.column(0), np.int64)[keep]
-            m = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(hashes, pa.list_(pa.int64()))], names=["rid", "fa", "fb", "bands"])
+            some = np.flatnonzero(np.diff(first))
+            i = 0
+            while i < len(some):
+                j = max(i + 1, int(np.searchsorted(first[some], first[some[i]] + TOGETHER, "right")) - 1)
+                sets = [weighed(codes[first[d] : first[d + 1]], weighted) for d in some[i:j]]
+                elements, weights = (np.concatenate(x) for x in zip(*sets, strict=True))
+                edges = np.cumsum([0, *[len(el) for el, _ in sets]])
+                both = elements + weights.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+                marks = [np.add.reduceat(mix(x), edges[:-1]).view(np.int64) for x in (both, both ^ np.uint64(0x94D049BB133111EB))]
+                hashes = band_hashes(signatures(elements, weights, edges))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(hashes.ravel()))
+                rid = np.asarray(batch.column(0), np.int64)[some[i:j]]
+                yield pa.RecordBatch.from_arrays([pa.array(rid), *map(pa.array, marks), lists], names=["rid", "fa", "fb", "bands"])
+                i = j
 
     return run
 
