@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -88,6 +90,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch
         del batch
         pool.release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a worker waits for its next task without what it has freed
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

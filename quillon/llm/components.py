@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Scratch
 
 
-def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one task, batch by batch, as stars of their components; shortens the rounds."""
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (hi, lo) of one task, batch by batch, as stars of their components; shortens the rounds."""
     for batch in batches:
         up: dict[int, int] = {}
 
@@ -39,7 +39,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     and a lost executor costs no round. Minima are combined map-side and hot
     nodes are joined, not gathered.
     """
-    now = scratch.save(edges.toDF("hi", "lo").where("hi <> lo").mapInArrow(_local_stars, "hi long, lo long"), f"{name}0")
+    now = scratch.save(edges.toDF("hi", "lo").where("hi <> lo"), f"{name}0")
     mark, turn = None, 0
     while True:
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.anchors import _powers, mix, prefix_sums, symbols_of
 from quillon.llm.common import Scratch, packed_row, row_keyed, sliced, table, text_buffer
-from quillon.llm.components import components
+from quillon.llm.components import components, local_stars
 from quillon.llm.repeats import RID, squeezed
 
 SHINGLE, COORDINATES, BANDS, FIRST_BANDS = 5, 128, 32, 4
@@ -220,7 +220,8 @@ def _links(keyed: DataFrame, rows: DataFrame, similar: float, weighted: bool, ne
     wanted = rows.groupBy("rid").agg(F.collect_list(F.struct("key", "salt", "next")).alias("at"))  # at most 32
     own = squeezed(keyed, False).join(wanted, "rid").select("rid", "z", F.explode("at").alias("at")).select("at.*", "rid", "z")
     own = own.repartition("key", "salt").sortWithinPartitions("key", "salt", "next", "rid")
-    return own.select("key", "rid", "z").mapInArrow(_compared(similar, weighted, neighbours), "hi long, lo long")
+    compared = _compared(similar, weighted, neighbours)
+    return own.select("key", "rid", "z").mapInArrow(lambda batches: local_stars(compared(batches)), "hi long, lo long")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
