@@ -80,6 +80,12 @@ def packed_row(docs: DataFrame, leave: tuple[str, ...] = ("text",)) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker, or the driver, may wait long for its next use."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker's memory doesn't follow the batch's size."""
     pool = pa.default_memory_pool()
@@ -90,8 +96,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch
         del batch
         pool.release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # a worker waits for its next task without what it has freed
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    give_back()
 
 
 def text_buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,8 @@ unchanged whatever their names.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from quillon.llm.common import packed_row, sliced, table
+from quillon.llm.common import give_back, packed_row, sliced, table
 
 WORD = regex.compile(r"\p{L}+")
 #: Labelled documents of either kind, and words, that a model is fitted on.
@@ -52,7 +53,7 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, clean: list[set[str]], toxic: list[set[str]], rounds: int = 400, decay: float = 2e-4) -> Ordinal:
+    def fit(cls, clean: list[Collection[str]], toxic: list[Collection[str]], rounds: int = 400, decay: float = 2e-4) -> Ordinal:
         if not clean or not toxic:
             return cls({}, [50.0, 60.0, 70.0])
         a, b = (Counter(w for d in docs for w in d) for docs in (clean, toxic))
@@ -61,7 +62,7 @@ class Ordinal:
         z = {w: (q[w] - p[w]) / np.sqrt(max(1e-9, (s := (a[w] + b[w] + 1) / (n + m + 2)) * (1 - s) * (1 / n + 1 / m))) for w in p if a[w] + b[w] >= 3}
         vocabulary = sorted(sorted((w for w in z if abs(z[w]) >= TELLING), key=lambda w: (-abs(z[w]), w))[:VOCABULARY])
         markers = {w for w in vocabulary if z[w] > 4 and q[w] > 4 * p[w]}
-        found = np.array([len(d & markers) for d in toxic])
+        found = np.array([sum(w in markers for w in d) for d in toxic])
         low, high = np.quantile(found, [1 / 3, 2 / 3])
         grade = np.concatenate([np.zeros(n, np.int64), 1 + (found > low) + (found > high)])
         at = {w: i for i, w in enumerate(vocabulary)}
@@ -114,9 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
         chosen.append(own.orderBy(F.xxhash64("id"), "id").limit(sample))
     ids = chosen[0].union(chosen[1])  # bounded by the sample, so it may be broadcast
     text = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(ids), "id").limit(4 * sample).collect()
-    picked = sorted((r["id"], r["text"], r["bad"]) for r in rows)
-    return Ordinal.fit([words_of(t) for _, t, bad in picked if not bad], [words_of(t) for _, t, bad in picked if bad])
+    kinds: dict[bool, list[tuple]] = {False: [], True: []}
+    for r in text.join(F.broadcast(ids), "id").limit(4 * sample).toLocalIterator():  # words of one text at a time, each word held once
+        kinds[r["bad"]].append((r["id"], r["text"][:64], tuple(map(intern, sorted(words_of(r["text"]))))))
+    clean, toxic = ([words for _, _, words in sorted(kinds[bad])] for bad in (False, True))
+    model = Ordinal.fit(clean, toxic)
+    del kinds, clean, toxic
+    give_back()
+    return model
 
 
 def _scored(model) -> Callable:
