@@ -9,10 +9,9 @@ Only about k ln k + 2k darts are made for a document, whatever its length.
 32 bands of 4 coordinates bring documents together: at similarity 0.8 a pair
 is missed by all bands with probability 5e-8.
 
-Documents with equal sets are one before any pairing. In a bucket, documents
-lie sorted by the next band and each is compared, exactly and on its whole
-text, with the few before it; a bucket is never gathered, and one of thousands
-is split by the next band's hash. What four bands link is merged into classes;
+Documents with equal sets are one before any pairing. In a bucket every two
+documents of different classes are compared, exactly and on their whole texts;
+one of thousands is split by the next band's hash. What four bands link is merged into classes;
 in the other bands only buckets with several classes are looked at, by a
 random member of each class, so no link between classes is passed by for the
 size of a group. Links become classes by components.py.
@@ -42,12 +41,13 @@ from quillon.llm.repeats import RID, squeezed
 
 SHINGLE, COORDINATES, BANDS, FIRST_BANDS = 5, 128, 32, 4
 SIMILAR = 0.8
-NEIGHBOURS = 4
 #: Rows of a bucket that lie in one task's sort before the bucket is split.
 SPLIT = 500
 FINEST = 2.0**-4
 #: Shingles of documents whose signatures are made together.
 TOGETHER = 1 << 17
+#: Pairs of a cell up to which they are compared one by one; rows of a cell compared with all others at once.
+FEW, TILE = 64, 512
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -192,36 +192,125 @@ def _features(weighted: bool) -> Callable:
     return run
 
 
-def _compared(similar: float, weighted: bool, neighbours: int) -> Callable:
-    """Rows (key, rid, z) sorted by bucket: links of each row with the rows just before it in its bucket."""
+def _hits(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of left, matrix of which rows of right are similar to them), some rows at a time.
+
+    Shingles of an eighth of the rows or more meet in one matrix product, rarer
+    ones by their lists; those of a single row cannot meet.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, col, rows = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    frequent = rows >= max(2, n / 8)
+    number = np.cumsum(frequent) - 1
+    held = frequent[col]
+    dense = np.zeros((n, int(frequent.sum())), np.float32)
+    dense[owner[held], number[col[held]]] = 1
+    rare = np.flatnonzero(~held & (rows[col] > 1))
+    edges = np.searchsorted(owner[rare], np.arange(n + 1))
+    to = np.full(n, -1)
+    to[right] = np.arange(len(right))
+    listed = rare[to[owner[rare]] >= 0]
+    listed = listed[np.argsort(col[listed], kind="stable")]
+    count = np.bincount(col[listed], minlength=len(rows))
+    start = np.cumsum(count) - count
+    partners, opposite, size_right = to[owner[listed]], dense[right].T, sizes[right].astype(float)
+    for at in range(0, len(left), TILE):
+        own = left[at : at + TILE]
+        same = dense[own] @ opposite
+        flat = same.ravel()
+        places = np.concatenate([rare[edges[r] : edges[r + 1]] for r in own])
+        line = np.repeat(np.arange(len(own)), edges[own + 1] - edges[own])
+        many = count[col[places]]
+        ends = np.cumsum(many)
+        i = 0
+        while i < len(places):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - many[i] + TOGETHER, "right")))
+            times = many[i:j]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            np.add.at(flat, np.repeat(line[i:j], times) * len(right) + partners[np.repeat(start[col[places[i:j]]], times) + nth], np.float32(1))
+            i = j
+        both = same.astype(float)
+        yield own, both / (sizes[own].astype(float)[:, None] + size_right - both) >= similar
+
+
+def _merged(sets: list[np.ndarray], classes: np.ndarray, left: np.ndarray, right: np.ndarray, similar: float) -> np.ndarray:
+    """The rows' classes once every row of left is compared with every row of right."""
+    label = classes.copy()
+
+    def merge(met: np.ndarray) -> None:
+        met = np.unique(met)
+        if len(met) > 1:
+            label[np.isin(label, met[1:])] = met[0]
+
+    if len(left) * len(right) <= FEW:
+        ones = [np.ones(len(x), np.int64) for x in sets]
+        for i in left:
+            for j in right:
+                n, m = len(sets[i]), len(sets[j])
+                if label[i] != label[j] and min(n, m) >= similar * max(n, m) and similarity((sets[i], ones[i]), (sets[j], ones[j])) >= similar:
+                    merge(label[[i, j]])
+        return label
+    for own, hit in _hits(sets, left, right, similar):
+        for i, line in zip(own, hit, strict=True):
+            merge(np.append(label[right[line]], label[i]))
+    return label
+
+
+def _units(own: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
+    """A weighted set as a sorted plain one: an element once for each unit of its weight."""
+    if not weighted:
+        return own[0]
+    elements, weights = own
+    nth = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    return np.sort(mix(np.repeat(elements, weights) ^ mix(nth.astype(np.uint64))))
+
+
+def _compared(similar: float, weighted: bool) -> Callable:
+    """Rows (key, a, b, block, class, z) sorted by cell (key, a, b): links of classes that hold similar rows.
+
+    In a cell all rows of block a meet all rows of block b.
+    """
+
+    def links(cell: list[tuple]) -> list[tuple[int, int]]:
+        classes = np.array([c for _, c, _ in cell])
+        if (classes == classes[0]).all():
+            return []
+        blocks = np.array([x for x, _, _ in cell])
+        left, right = (np.flatnonzero(blocks == x) for x in (blocks.min(), blocks.max()))
+        label = _merged([x for _, _, x in cell], classes, left, right, similar)
+        return list({(int(c), int(x)) for c, x in zip(classes, label, strict=True) if c != x})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        last, near = None, []
+        last, cell = None, []
         for batch in sliced(batches):
-            links: list[tuple[int, int]] = []
-            for key, rid, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if key != last:
-                    last, near = key, []
+            found: list[tuple[int, int]] = []
+            for key, a, b, block, cls, z in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (key, a, b) != last:
+                    found += links(cell) if cell else []
+                    last, cell = (key, a, b), []
                 raw = np.frombuffer(unpack.decompress(z), np.uint8)
                 own = weighed(symbols_of("words", raw, np.array([0, len(raw)]))[0], weighted)
-                size = own[1].sum()
-                for other, theirs, n in near:
-                    if min(n, size) >= similar * max(n, size) and similarity(own, theirs) >= similar:
-                        links.append((max(rid, other), min(rid, other)))
-                near = [*near[-neighbours + 1 :], (rid, own, size)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["hi", "lo"])
+                cell.append((block, cls, _units(own, weighted)))
+            yield _pairs(found)
+        yield _pairs(links(cell) if cell else [])
 
     return run
 
 
-def _links(keyed: DataFrame, rows: DataFrame, similar: float, weighted: bool, neighbours: int) -> DataFrame:
-    """Links among rows (key, salt, next, rid), whose texts are brought to them once a document and row."""
-    wanted = rows.groupBy("rid").agg(F.collect_list(F.struct("key", "salt", "next")).alias("at"))  # at most 32
-    own = squeezed(keyed, False).join(wanted, "rid").select("rid", "z", F.explode("at").alias("at")).select("at.*", "rid", "z")
-    own = own.repartition("key", "salt").sortWithinPartitions("key", "salt", "next", "rid")
-    compared = _compared(similar, weighted, neighbours)
-    return own.select("key", "rid", "z").mapInArrow(lambda batches: local_stars(compared(batches)), "hi long, lo long")
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["hi", "lo"])
+
+
+def _links(keyed: DataFrame, rows: DataFrame, similar: float, weighted: bool) -> DataFrame:
+    """Links among classes of rows (key, salt, class, rid), whose texts are brought to them once a document and row."""
+    wanted = rows.groupBy("rid", "class").agg(F.collect_list(F.struct("key", "salt")).alias("at"))  # at most 32
+    own = squeezed(keyed, False).join(wanted, "rid").select("class", "z", F.explode("at").alias("at"))
+    own = own.select("at.key", F.col("at.salt").alias("a"), F.col("at.salt").alias("b"), F.col("at.salt").alias("block"), "class", "z")
+    own = own.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    compared = _compared(similar, weighted)
+    return own.mapInArrow(lambda batches: local_stars(compared(batches)), "hi long, lo long")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -238,13 +327,13 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = Fal
     met = rows.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     met = scratch.save(rows.join(met, "key").withColumn("salt", F.expr(f"pmod(next, cast(ceil(n / {SPLIT}) as bigint))")), "met")
 
-    first = components(_links(keyed, met.where(F.col("band") < FIRST_BANDS), similar, weighted, NEIGHBOURS), scratch, "a")
+    first = components(_links(keyed, met.where(F.col("band") < FIRST_BANDS).withColumn("class", F.col("rid")), similar, weighted), scratch, "a")
     later = met.where(F.col("band") >= FIRST_BANDS).join(first.withColumnRenamed("hi", "rid"), "rid", "left")
     later = later.withColumn("class", F.coalesce("lo", "rid"))
-    later = later.groupBy("key", "class").agg(F.min_by(F.struct("rid", "salt", "next"), F.xxhash64("rid", "key")).alias("one"))
+    later = later.groupBy("key", "class").agg(F.min_by(F.struct("rid", "salt"), F.xxhash64("rid", "key")).alias("one"))
     several = later.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    later = scratch.save(later.join(several, "key").select("key", "one.*"), "later")
-    links = _links(keyed, later, similar, weighted, 2 * NEIGHBOURS)
+    later = scratch.save(later.join(several, "key").select("key", "class", "one.*"), "later")
+    links = _links(keyed, later, similar, weighted)
     all_links = components(first.unionByName(links), scratch, "b")
     root = all_links.withColumnRenamed("hi", "rep")
     classes = scratch.save(members.join(root, "rep", "left").select("rid", F.coalesce("lo", "rep").alias("class")), "result")
