@@ -12,9 +12,9 @@ is missed by all bands with probability 5e-8.
 Documents with equal sets are one before any pairing. In a bucket every two
 documents of different classes are compared, exactly and on their whole texts;
 one of thousands is split by the next band's hash. What four bands link is merged into classes;
-in the other bands only buckets with several classes are looked at, by a
-random member of each class, so no link between classes is passed by for the
-size of a group. Links become classes by components.py.
+in the other bands only buckets with several classes are looked at, with all
+their members, since a link is one of texts and not of classes: only pairs
+already in one class are left out. Links become classes by components.py.
 
 Cases: documents without a word (null, empty) are classes of their own; one of
 one to four words is a single shingle; texts are taken whole; repeated rows are
@@ -330,9 +330,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = Fal
     first = components(_links(keyed, met.where(F.col("band") < FIRST_BANDS).withColumn("class", F.col("rid")), similar, weighted), scratch, "a")
     later = met.where(F.col("band") >= FIRST_BANDS).join(first.withColumnRenamed("hi", "rid"), "rid", "left")
     later = later.withColumn("class", F.coalesce("lo", "rid"))
-    later = later.groupBy("key", "class").agg(F.min_by(F.struct("rid", "salt"), F.xxhash64("rid", "key")).alias("one"))
-    several = later.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    later = scratch.save(later.join(several, "key").select("key", "class", "one.*"), "later")
+    several = later.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key")
+    later = scratch.save(later.join(several, "key").select("key", "salt", "rid", "class"), "later")
     links = _links(keyed, later, similar, weighted)
     all_links = components(first.unionByName(links), scratch, "b")
     root = all_links.withColumnRenamed("hi", "rep")

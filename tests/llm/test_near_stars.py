@@ -8,12 +8,12 @@ from test_corpus import SCHEMA, expected_classes, shingle_set
 from quillon.llm import near_dups
 
 
-def stars(seed, groups, copies):
-    """Texts of 200 words, each followed by copies of 4 scattered words replaced: 0.815 to it, under 0.8 to each other."""
+def stars(seed, groups, copies, words=200):
+    """Texts, each followed by copies with 4 scattered words replaced: of 200 words 0.815 to it, under 0.8 to each other."""
     rng = random.Random(seed)
     texts = []
     for g in range(groups):
-        base = [f"g{g}w{i}" for i in range(200)]
+        base = [f"g{g}w{i}" for i in range(words)]
         texts.append(" ".join(base))
         for c in range(copies):
             w = list(base)
@@ -60,3 +60,7 @@ def test_cells_against_single_comparisons(weighted):
     for similar in (0.4, 0.7, 0.75):
         for own, hit in near_dups._hits(units, left, right, similar):
             assert hit.tolist() == [[near_dups.similarity(sets[i], sets[j]) >= similar for j in right] for i in own]
+
+
+def test_members_of_a_class_are_still_compared(spark):
+    assert lost(spark, stars(3, 12, 40)) == 0
