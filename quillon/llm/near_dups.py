@@ -11,10 +11,11 @@ is missed by all bands with probability 5e-8.
 
 Documents with equal sets are one before any pairing. In a bucket every two
 documents of different classes are compared, exactly and on their whole texts;
-one of thousands is split by the next band's hash. What four bands link is merged into classes;
-in the other bands only buckets with several classes are looked at, with all
-their members, since a link is one of texts and not of classes: only pairs
-already in one class are left out. Links become classes by components.py.
+one of thousands is cut into blocks, and each two blocks meet in a task. What
+four bands link is merged into classes; in the other bands only buckets with
+several classes are looked at, with all their members, since a link is one of
+texts and not of classes: only pairs already in one class are left out. Links
+become classes by components.py.
 
 Cases: documents without a word (null, empty) are classes of their own; one of
 one to four words is a single shingle; texts are taken whole; repeated rows are
@@ -35,19 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.anchors import _powers, mix, prefix_sums, symbols_of
-from quillon.llm.common import Scratch, packed_row, row_keyed, sliced, table, text_buffer
+from quillon.llm.common import Scratch, give_back, packed_row, row_keyed, sliced, table, text_buffer
 from quillon.llm.components import components, local_stars
 from quillon.llm.repeats import RID, squeezed
 
 SHINGLE, COORDINATES, BANDS, FIRST_BANDS = 5, 128, 32, 4
 SIMILAR = 0.8
-#: Rows of a bucket that lie in one task's sort before the bucket is split.
-SPLIT = 500
+#: Rows, and shingles, of a block; a bucket of more is cut into blocks, and every two of them meet in a cell.
+SPLIT, BLOCK = 2000, 1 << 18
 FINEST = 2.0**-4
 #: Shingles of documents whose signatures are made together.
 TOGETHER = 1 << 17
 #: Pairs of a cell up to which they are compared one by one; rows of a cell compared with all others at once.
-FEW, TILE = 64, 512
+FEW, TILE = 64, 128
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -186,7 +187,8 @@ def _features(weighted: bool) -> Callable:
                 hashes = band_hashes(signatures(elements, weights, edges))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(hashes.ravel()))
                 rid = np.asarray(batch.column(0), np.int64)[some[i:j]]
-                yield pa.RecordBatch.from_arrays([pa.array(rid), *map(pa.array, marks), lists], names=["rid", "fa", "fb", "bands"])
+                size = np.add.reduceat(weights, edges[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), *map(pa.array, [*marks, size]), lists], names=["rid", "fa", "fb", "size", "bands"])
                 i = j
 
     return run
@@ -294,7 +296,10 @@ def _compared(similar: float, weighted: bool) -> Callable:
                 own = weighed(symbols_of("words", raw, np.array([0, len(raw)]))[0], weighted)
                 cell.append((block, cls, _units(own, weighted)))
             yield _pairs(found)
-        yield _pairs(links(cell) if cell else [])
+        found = links(cell) if cell else []
+        cell = []
+        give_back()  # the last cell ends after the rows do
+        yield _pairs(found)
 
     return run
 
@@ -304,10 +309,12 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _links(keyed: DataFrame, rows: DataFrame, similar: float, weighted: bool) -> DataFrame:
-    """Links among classes of rows (key, salt, class, rid), whose texts are brought to them once a document and row."""
-    wanted = rows.groupBy("rid", "class").agg(F.collect_list(F.struct("key", "salt")).alias("at"))  # at most 32
-    own = squeezed(keyed, False).join(wanted, "rid").select("class", "z", F.explode("at").alias("at"))
-    own = own.select("at.key", F.col("at.salt").alias("a"), F.col("at.salt").alias("b"), F.col("at.salt").alias("block"), "class", "z")
+    """Links among classes of rows (key, blocks, class, rid), whose texts are brought to them once a document and cell."""
+    at = F.struct("key", "blocks", F.expr("pmod(xxhash64(rid, key), blocks)").alias("block"))
+    wanted = rows.groupBy("rid", "class").agg(F.collect_list(at).alias("at"))  # at most 32
+    own = squeezed(keyed, False).join(wanted, "rid").select("class", "z", F.explode("at").alias("at")).select("class", "z", "at.*")
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = own.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "class", "z")
     own = own.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     compared = _compared(similar, weighted)
     return own.mapInArrow(lambda batches: local_stars(compared(batches)), "hi long, lo long")
@@ -318,20 +325,22 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = Fal
     scratch = Scratch(docs.sparkSession, "near")
     keyed, _ = row_keyed(docs, scratch)
     texts = keyed.select(F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"))
-    made = scratch.save(texts.mapInArrow(_features(weighted), "rid long, fa long, fb long, bands array<long>"), "features")
+    made = scratch.save(texts.mapInArrow(_features(weighted), "rid long, fa long, fb long, size long, bands array<long>"), "features")
     reps = made.groupBy("fa", "fb").agg(F.min("rid").alias("rep"))
     members = scratch.save(made.select("rid", "fa", "fb").join(reps, ["fa", "fb"]).select("rid", "rep"), "members")
     alone = made.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    rows = alone.select("rid", F.posexplode("bands").alias("band", "key"), "bands")
-    rows = rows.select("rid", "band", "key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
-    met = rows.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    met = scratch.save(rows.join(met, "key").withColumn("salt", F.expr(f"pmod(next, cast(ceil(n / {SPLIT}) as bigint))")), "met")
+    rows = alone.select("rid", "size", F.posexplode("bands").alias("band", "key"))
+    marks = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    met = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *marks).where("n > 1")
+    met = met.groupBy("x0", "x1", "n").agg(F.min(F.struct("band", "key", "size")).alias("one"))  # of buckets of the same documents, the first
+    blocks = F.greatest(F.ceil(F.col("n") / SPLIT), F.ceil(F.col("one.size") / BLOCK)).cast("long").alias("blocks")
+    met = scratch.save(rows.select("rid", "key").join(met.select("one.key", "one.band", blocks), "key"), "met")
 
     first = components(_links(keyed, met.where(F.col("band") < FIRST_BANDS).withColumn("class", F.col("rid")), similar, weighted), scratch, "a")
     later = met.where(F.col("band") >= FIRST_BANDS).join(first.withColumnRenamed("hi", "rid"), "rid", "left")
     later = later.withColumn("class", F.coalesce("lo", "rid"))
     several = later.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key")
-    later = scratch.save(later.join(several, "key").select("key", "salt", "rid", "class"), "later")
+    later = scratch.save(later.join(several, "key").select("key", "blocks", "rid", "class"), "later")
     links = _links(keyed, later, similar, weighted)
     all_links = components(first.unionByName(links), scratch, "b")
     root = all_links.withColumnRenamed("hi", "rep")

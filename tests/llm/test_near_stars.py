@@ -64,3 +64,10 @@ def test_cells_against_single_comparisons(weighted):
 
 def test_members_of_a_class_are_still_compared(spark):
     assert lost(spark, stars(3, 12, 40)) == 0
+
+
+def test_split_buckets_are_compared_across_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "SPLIT", 20)
+    rows = stars(5, 1, 1000, 184)  # each copy is 0.8 to its text, so all are one class
+    got = near_dups.near_dups(spark.createDataFrame([(i, t, "c") for i, t in rows], SCHEMA)).select("class_id").distinct()
+    assert got.count() == 1
