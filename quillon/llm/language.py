@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, MapType, StringType, StructField, StructType
 
@@ -105,14 +105,16 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Models from at most `sample` labelled rows of each language, those least by a hash of the id."""
     use = docs.where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    use = use.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
-    counts = {r["lang"]: r["count"] for r in use.groupBy("lang").count().collect()}
+    use = use.select(F.col("lang").cast("string").alias("lang"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("h"), F.col("text").cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # ids, however often repeated
     if not counts:
         return Model.fit([])
     edge = F.lit(None).cast("long")
     for lang, n in counts.items():  # about 1.5 times the sample is read
-        edge = F.when(F.col("lang") == lang, F.lit(-(1 << 63) + int((1 << 64) * min(1.0, 1.5 * sample / n)) - 1)).otherwise(edge)
-    picked = use.where(F.col("h") <= edge).limit(4 * sample * len(counts)).collect()
+        edge = F.when(F.col("lang") == lang, F.lit(-(1 << 63) + int((1 << 64) * min(1.0, 1.5 * sample / max(1, n))) - 1)).otherwise(edge)
+    nth, place = Window.partitionBy("lang", "h").orderBy("text"), Window.partitionBy("lang").orderBy("nth", "h")
+    picked = use.where(F.col("h") <= edge).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= sample)
+    picked = picked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample).collect()
     rows: list[tuple[str, str]] = []
     for lang in sorted(counts):
         rows += [(r["lang"], r["text"]) for r in sorted((r for r in picked if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:sample]]

@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     ids = chosen[0].union(chosen[1])  # bounded by the sample, so it may be broadcast
     text = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     kinds: dict[bool, list[tuple]] = {False: [], True: []}
-    for r in text.join(F.broadcast(ids), "id").limit(4 * sample).toLocalIterator():  # words of one text at a time, each word held once
+    own = text.join(F.broadcast(ids), "id").groupBy("id", "bad").agg(F.min("text").alias("text"))  # repeated ids count once
+    for r in own.toLocalIterator():  # words of one text at a time, each word held once
         kinds[r["bad"]].append((r["id"], r["text"][:64], tuple(map(intern, sorted(words_of(r["text"]))))))
     clean, toxic = ([words for _, _, words in sorted(kinds[bad])] for bad in (False, True))
     model = Ordinal.fit(clean, toxic)
