@@ -2,7 +2,9 @@
 
 Equal windows have their anchor at the same place, so any two equal windows
 meet under the same anchor key, and only about 2 / (window - gram) of the
-positions have to be shuffled. All arrays are numpy over a batch of documents.
+positions have to be shuffled. Grams are hashed by a rolling polynomial, which
+only proposes who meets whom: that two places hold the same symbols is decided
+by their bytes (repeats.py). All arrays are numpy over a batch of documents.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -71,20 +74,44 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
+def eights(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), kind, padded, strides=(1,))
+
+
+#: Longer words are hashed one at a time.
+LONG = 256
+
+
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):  # bounded stretches of the buffer
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT, "left")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        sums = prefix_sums(data[lo:hi])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * _powers(hi - lo)[1][s] + (e - s).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-        i = j
+    """A 64-bit hash of each word's bytes: eight at a time, each mixed into what came before."""
+    at, size = eights(data), ends - starts
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = mix((at[starts].astype(np.uint64) & mask[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+    own = np.flatnonzero((size > 8) & (size <= LONG))
+    k = 8
+    while len(own):
+        more = at[starts[own] + k].astype(np.uint64) & mask[np.minimum(size[own] - k, 8)]
+        out[own] = mix((out[own] ^ more) + np.uint64(0x51ED270B0A1F39C1))
+        k += 8
+        own = own[size[own] > k]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return out
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """data with one space between words, and where each word begins there."""
+    space = SPACES[data]
+    out = np.where(space, np.uint8(32), data)
+    drop = space.copy()
+    drop[1:] &= space[:-1]
+    gone = np.flatnonzero(drop)
+    return (out[~drop], starts - np.searchsorted(gone, starts)) if len(gone) else (out, starts)
+
+
 def symbols_of(kind: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of a batch of texts (bytes as they are, words as hashes) and each document's first symbol (n + 1)."""
     if kind == "bytes":
@@ -125,18 +152,14 @@ def _runs(symbols: np.ndarray, edges: np.ndarray, window: int, gram: int):
     keep = valid[s]
     s, e = s[keep], e[keep]
     a = at[s]
-    body = (sums[e + window] - sums[s]) * inverse[s]
-    place = ((a - s).astype(np.uint64) << np.uint64(32)) | (e - s).astype(np.uint64)
-    context = mix(body ^ mix(place + np.uint64(0x51ED270B0A1F39C1)))
-    return s, a, e, grams[a], context
+    return s, a, e, grams[a]
 
 
 def anchors(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """(document, s, a, e, key, context) arrays of all anchors of a batch.
+    """(document, s, a, e, key) arrays of all anchors of a batch.
 
     The anchor at symbol a of the document is that of the windows that start at
-    s..e; key is the gram's hash, context that of all symbols of these windows
-    and of the anchor's place in them.
+    s..e, its context; key is the gram's hash.
     """
     parts = []
     n, i = len(first) - 1, 0
@@ -153,9 +176,9 @@ def anchors(symbols: np.ndarray, first: np.ndarray, window: int, gram: int):
             if found is not None and len(found[0]):
                 s = found[0] + p
                 doc = np.searchsorted(first, s, "right") - 1
-                parts.append((doc, s - first[doc], found[1] + p - first[doc], found[2] + p - first[doc], found[3], found[4]))
+                parts.append((doc, s - first[doc], found[1] + p - first[doc], found[2] + p - first[doc], found[3]))
         i = j
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z, z.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

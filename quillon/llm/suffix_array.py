@@ -2,10 +2,12 @@
 
 Method: blockwise suffix sorting with a difference cover. repeats.py brings
 suffixes that may share 200 bytes into one block of bounded size. In a block,
-the suffixes at a difference cover's positions (mod 31) are ranked first by
-prefix doubling; then one suffix bucket at a time is sorted by its first 31
+only the suffixes at a difference cover's positions (mod 31) are ranked first,
+by prefix doubling; then one suffix bucket at a time is sorted by its first
 bytes, and suffixes that tie there are told apart by the precomputed ranks of
-the cover samples inside them, so no long string is ever compared.
+the cover samples inside them, so no long string is ever compared. Every
+removed byte is one that this index found twice, or one of a further copy with
+the 128-bit digest of a text that it found twice.
 
 Cases: null and empty texts have 0 bytes and nothing removed; texts under
 200 bytes never lose any; each repeated row counts as a document of its own,
@@ -26,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from quillon.llm.anchors import eights
 from quillon.llm.common import Scratch, row_keyed, sliced, table
-from quillon.llm.repeats import Windows, by_row, merged, repeated_spans
+from quillon.llm.repeats import Block, Windows, by_row, merged, repeated_spans
 
 PERIOD = 31
 #: Every difference mod 31 is one of two members of this set.
@@ -52,67 +55,81 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_names(text: np.ndarray) -> np.ndarray:
-    """Rank of the 31 bytes at each position (zeros after the end)."""
-    n = len(text)
-    padded = np.zeros(n + PERIOD + 8, np.uint64)
-    padded[:n] = text
-    eight = np.zeros(n + PERIOD + 1, np.uint64)
-    for j in range(8):
-        eight = (eight << np.uint64(8)) | padded[j : j + len(eight)]
-    return _dense(eight[:n], eight[8 : n + 8], eight[16 : n + 16], eight[23 : n + 23])
+def sample_ranks(text: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+    """Ranks of the cover's samples by their first `length` bytes (-1 elsewhere), and that length.
 
-
-def cover_ranks(names: np.ndarray, window: int) -> tuple[np.ndarray, int]:
-    """Ranks of the samples by their first `length` bytes (-1 elsewhere), and that length."""
-    n, length = len(names), PERIOD
+    Only the samples are sorted: by 31 bytes at first, then by ranks of samples
+    that many bytes on, so the length doubles while it fits in a window.
+    """
+    n, length = len(text), PERIOD
+    at = eights(np.concatenate([text, np.zeros(PERIOD, np.uint8)]), ">u8")
     sample = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
     rank = np.full(n, -1, np.int64)
-    rank[sample] = names[sample]
+    rank[sample] = _dense(*[at[sample + k].astype(np.uint64) for k in (0, 8, 16, 23)])
     while length * 2 + _next_sample().max() <= window:
         far = sample + length
         second = np.where(far < n, rank[np.minimum(far, n - 1)], -1)
         doubled = _dense(rank[sample], second)
-        rank = np.full(n, -1, np.int64)
         rank[sample] = doubled
         length *= 2
     return rank, length
 
 
+def tie_places(window: int, length: int) -> list[np.ndarray]:
+    """For each residue, places whose samples' ranks cover a window from the first sample to its last 16 bytes."""
+    residue = np.arange(PERIOD)
+    is_sample = np.isin((residue[:, None] + np.arange(window)) % PERIOD, COVER)
+    before = np.maximum.accumulate(np.where(is_sample, np.arange(window), -1), axis=1)
+    last = before[residue, window - length]
+    out = [_next_sample()]
+    while (out[-1] + length < window - 16).any():
+        out.append(np.where(out[-1] + length >= last, np.maximum(last, out[-1]), before[residue, np.minimum(out[-1] + length, window - 1)]))
+    return out
+
+
 def sorted_ties(text: np.ndarray, suffixes: np.ndarray, window: int, bucket: int = BUCKET) -> Iterator[np.ndarray]:
     """Groups, in suffix order, of at least two suffixes at equal residues that share `window` bytes.
 
     Yields arrays of indexes into suffixes, each group's after the other, with the
-    group's number as second row.
+    group's number as second row. Suffixes are dealt into buckets by their first
+    two bytes; buckets are sorted one after the other (small ones together), a
+    larger one by its next bytes first.
     """
     if window < PERIOD + 13:
         raise ValueError("window too short for the cover")
     if len(suffixes) < 2:
         return
-    names = prefix_names(text)
-    rank, length = cover_ranks(names, window)
-    residue = suffixes % PERIOD
-    ahead = _next_sample()
-    tail = window - length  # the last sample that starts at or before it
-    behind = np.array([max(d for d in range(tail - PERIOD, tail + 1) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
-    behind = np.where(behind < 0, ahead, behind)
-    head = names[suffixes]
-    order = np.argsort(head, kind="stable")
-    bounds = np.flatnonzero(np.diff(head[order])) + 1
-    i = 0
-    while i < len(order):
-        j = len(order)
-        if j - i > bucket:
-            k = int(np.searchsorted(bounds, i + bucket, "right")) - 1
-            if k < 0 or bounds[k] <= i:
-                k += 1
-            j = int(bounds[k]) if k < len(bounds) else len(order)
-        own = order[i:j]
-        at, res = suffixes[own], residue[own]
-        keys = (head[own], res, rank[at + ahead[res]], rank[at + behind[res]], names[at + window - PERIOD])
+    rank, length = sample_ranks(text, window)
+    places = tie_places(window, length)
+    at = eights(text, ">u8")
+    lead = at[suffixes].astype(np.uint64)
+    order = np.argsort((lead >> np.uint64(48)).astype(np.uint16), kind="stable")
+    todo = [(order, 16)]
+    while todo:
+        own, known = todo.pop()
+        if len(own) > bucket and known <= 64:
+            head = lead[own] >> np.uint64(64 - known)
+            cuts = np.concatenate([[0], np.flatnonzero(head[1:] != head[:-1]) + 1, [len(own)]])
+            i, parts = 0, []
+            while i < len(cuts) - 1:
+                j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + bucket, "right")) - 1)
+                part = own[cuts[i] : cuts[j]]
+                if len(part) > bucket and known < 64:
+                    more = min(64, known + 16)
+                    part = part[np.argsort(lead[part] >> np.uint64(64 - more), kind="stable")]
+                    parts.append((part, more))
+                else:
+                    parts.append((part, 65))
+                i = j
+            todo += parts[::-1]
+            continue
+        start = suffixes[own]
+        residue = start % PERIOD
+        keys = [lead[own], at[start + 8].astype(np.uint64), residue, *[rank[start + p[residue]] for p in places]]
+        keys += [at[start + window - k].astype(np.uint64) for k in (16, 8)]
         by = np.lexsort(keys[::-1])
         new = np.zeros(len(by), bool)
-        new[0] = True
+        new[:1] = True
         for x in keys:
             s = x[by]
             new[1:] |= s[1:] != s[:-1]
@@ -120,26 +137,23 @@ def sorted_ties(text: np.ndarray, suffixes: np.ndarray, window: int, bucket: int
         several = np.bincount(group)[group] > 1
         if several.any():
             yield np.stack([own[by][several], group[several]])
-        i = j
 
 
-def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], row: np.ndarray, offset: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window (row, offset) of the block's contexts: whether it is in a
-    once-seen context and equal to one of another context; whether it is equal to
-    any; whether it is the first of such equals.
+def index(block: Block, window: int) -> np.ndarray:
+    """Numbers the groups of equal windows of a block; -1 where a window has no equal.
 
     Contexts are laid out so that anchors stand at residue 0: equal windows lie
     alike around their anchor, so they tie at equal residues.
     """
-    room = -(-(sizes + PERIOD) // PERIOD) * PERIOD + PERIOD
-    base = np.cumsum(room) - room + (-cols["lead"]) % PERIOD
+    room = -(-(block.sizes + PERIOD) // PERIOD) * PERIOD + PERIOD
+    base = np.cumsum(room) - room + (-block.lead) % PERIOD
     text = np.zeros(int(room.sum()) + PERIOD, np.uint8)
-    text[np.arange(len(body)) + np.repeat(base - (np.cumsum(sizes) - sizes), sizes)] = body
-    tied, first = np.zeros(len(row), bool), np.zeros(len(row), bool)
-    for own, group in sorted_ties(text, base[row] + offset, window):
-        tied[own] = True
-        first[own[np.concatenate([[True], group[1:] != group[:-1]])]] = True
-    return tied & (cols["n"][row] == 1), tied, first
+    text[np.arange(len(block.text)) + np.repeat(base - block.base, block.sizes)] = block.text
+    out, numbers = np.full(len(block.row), -1, np.int64), 0
+    for own, group in sorted_ties(text, base[block.row] + block.offset, window):
+        out[own] = numbers + group
+        numbers += int(group.max()) + 1
+    return out
 
 
 def _apply(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
@@ -166,7 +180,7 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 56, hot: int = 2
     """One row per document: row (its other columns), kept (bytes, or a string of its whole characters), n_bytes, n_removed, n_spans."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     keyed, _ = row_keyed(docs, scratch)
-    spans = repeated_spans(keyed, Windows("bytes", window, gram, False, hot), resolve, scratch)
+    spans = repeated_spans(keyed, Windows("bytes", window, gram, False, hot), index, scratch)
     rows = by_row(keyed, spans)
     out = [StructField("row", rows.schema["row"].dataType), StructField("kept", StringType() if as_text else BinaryType()), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
     return rows.mapInArrow(partial(_apply, as_text=as_text), StructType(out))

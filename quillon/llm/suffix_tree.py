@@ -3,8 +3,11 @@
 Method: suffixes that may share 20 words (brought together by repeats.py) are
 split by variable-length prefixes, one word longer wherever a group would not
 fit in memory; for each group the suffixes are sorted, which lays out its
-subtree's leaves, and the internal nodes 20 words deep or deeper give the
-repeats. The earliest leaf below such a node stays.
+subtree's leaves with the words that neighbours have in common, and the
+internal nodes 20 words deep give the repeats: leaves are cut at that depth, as
+deeper nodes lie below one of these. The earliest leaf below such a node stays.
+Words are compared as they are, not by hashes; further copies of a text that
+the tree found twice are known by its 128-bit digest.
 
 Cases: null and empty texts have no words; texts under 20 words lose none;
 rows are ordered by doc_id (nulls last, then by text), each repeated row being a document of
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillon.llm.common import Scratch, row_keyed, sliced, table
-from quillon.llm.repeats import Windows, by_row, merged, repeated_spans
+from quillon.llm.repeats import Block, Windows, by_row, merged, repeated_spans
 
 #: Suffixes in one subtree's group.
 GROUP = 1 << 15
@@ -57,37 +60,59 @@ def prefix_groups(text: np.ndarray, suffixes: np.ndarray, depth: int, most: int)
             i = j
 
 
+def leaves(text: np.ndarray, suffixes: np.ndarray, known: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a group in order, and the words (up to depth) that each shares with the next: a subtree's leaves, laid out."""
+    words = [text[suffixes + d] for d in range(known, depth)]
+    order = np.lexsort(words[::-1]) if words else np.arange(len(suffixes))
+    common = np.full(len(suffixes) - 1, known)
+    still = np.ones(len(suffixes) - 1, bool)
+    for x in words:
+        s = x[order]
+        still &= s[1:] == s[:-1]
+        common += still
+    return order, common
+
+
+def internal_nodes(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first leaf, last leaf, depth in words) of the internal nodes at least `least` words deep.
+
+    A node of depth d spans leaves whose neighbours all share d words or more,
+    and some two neighbours just d. Depths are taken one by one, deepest last.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for d in range(least, int(common.max(initial=0)) + 1):
+        inside = np.concatenate([[False], common >= d, [False]])
+        first = np.flatnonzero(inside[1:] & ~inside[:-1])
+        last = np.flatnonzero(inside[:-1] & ~inside[1:])
+        exact = np.concatenate([[0], np.cumsum(common == d)])
+        own = exact[last] > exact[first]
+        found.append((first[own], last[own], np.full(int(own.sum()), d)))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def deep_nodes(text: np.ndarray, suffixes: np.ndarray, depth: int, most: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(leaves, node) of each group: leaves under an internal node of at least `depth` words."""
     for own, known in prefix_groups(text, suffixes, depth, most):
         if len(own) < 2:
             continue
-        at = suffixes[own]
-        words = [text[at + d] for d in range(known, depth)]
-        order = np.lexsort(words[::-1]) if words else np.arange(len(own))
-        shared = np.ones(len(own) - 1, bool)  # common prefix with the next leaf reaches the depth
-        for x in words:
-            s = x[order]
-            shared &= s[1:] == s[:-1]
-        node = np.concatenate([[0], np.cumsum(~shared)])
-        several = np.bincount(node)[node] > 1
-        if several.any():
-            yield own[order][several], node[several]
-
-
-def resolve(body: np.ndarray, sizes: np.ndarray, cols: dict[str, np.ndarray], row: np.ndarray, offset: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window (row, offset) of the block's contexts: whether an equal one
-    starts earlier; whether it has an equal; whether it is the earliest of its equals.
-    """
-    hit, first = np.zeros(len(row), bool), np.zeros(len(row), bool)
-    for leaves, node in deep_nodes(body, (np.cumsum(sizes) - sizes)[row] + offset, window):
-        r = row[leaves]
-        order = np.lexsort((cols["pos"][r] + offset[leaves], cols["rid"][r], node))
-        own, under = leaves[order], node[order]
-        again = np.concatenate([[False], under[1:] == under[:-1]])
-        hit[own[again]] = True
-        first[own[~again]] = True
-    return hit, hit | first, first
+        order, common = leaves(text, suffixes[own], known, depth)
+        first, last, _ = internal_nodes(common, depth)
+        if len(first):
+            size = last - first + 1
+            node = np.repeat(np.arange(len(first)), size)
+            at = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size) + first[node]
+            yield own[order[at]], node
+
+
+def index(block: Block, window: int) -> np.ndarray:
+    """Numbers the groups of equal windows of a block; -1 where a window has no equal."""
+    out, numbers = np.full(len(block.row), -1, np.int64), 0
+    for own, node in deep_nodes(block.text, block.base[block.row] + block.offset, window):
+        out[own] = numbers + node
+        numbers += int(node.max()) + 1
+    return out
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +136,7 @@ def dedup_words(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 256
     """One row per document: row (its other columns), kept (words joined by a space), n_words, n_removed."""
     scratch = Scratch(docs.sparkSession, "subtrees")
     keyed, _ = row_keyed(docs, scratch)
-    spans = repeated_spans(keyed, Windows("words", window, gram, True, hot), resolve, scratch)
+    spans = repeated_spans(keyed, Windows("words", window, gram, True, hot), index, scratch)
     rows = by_row(keyed, spans)
     out = [StructField("row", rows.schema["row"].dataType), StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
     return rows.mapInArrow(_apply, StructType(out))

@@ -136,9 +136,54 @@ def test_long_documents_are_cut_into_pieces(monkeypatch):
     rng = np.random.default_rng(7)
     data = rng.integers(0, 256, 4000).astype(np.uint8)
     first = np.array([0, 0, 100, 2600, 2650, 4000])
-    doc, s, a, e, key, ctx = anchors.anchors(data, first, 100, 30)
+    doc, s, a, e, key = anchors.anchors(data, first, 100, 30)
     held = Counter()
     for d, lo, hi in zip(doc.tolist(), s.tolist(), e.tolist(), strict=True):
         held.update((d, x) for x in range(lo, hi + 1))
     assert set(held.values()) == {1}
     assert set(held) == {(d, x) for d in range(5) for x in range(max(0, int(first[d + 1] - first[d]) - 99))}
+
+
+def thue_morse(a: str, b: str, n: int) -> str:
+    """Its complement has the same polynomial hash modulo 2^64 from 1,024 places on, whatever the base."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{lead} {thue_morse('a', 'b', 1024)}", "k", 0, "r"), (2, f"{lead} {thue_morse('b', 'a', 1024)}", "k", 0, "r"), (3, f"{thue_morse('a', 'b', 4096)} x", "k", 0, "r"), (4, f"{thue_morse('b', 'a', 4096)} y", "k", 0, "r")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = suffix_tree.dedup_words(df).select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == words_expected(rows, 20)
+    got = suffix_array.dedup_bytes(df).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == bytes_expected(rows, 200)
+    codes = anchors.symbols_of("words", np.frombuffer(b" ".join(r[1].encode() for r in rows), np.uint8), np.array([0, sum(len(r[1]) + 1 for r in rows) - 1]))[0]
+    assert len(set(codes.tolist())) == 19 + 2 + 2 + 2
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_nothing_goes_without_the_index(spark, monkeypatch, hot):
+    blind = lambda block, window: np.full(len(block.row), -1, np.int64)
+    monkeypatch.setattr(suffix_array, "index", blind)
+    monkeypatch.setattr(suffix_tree, "index", blind)
+    df = spark.createDataFrame(corpus(9), SCHEMA)
+    assert suffix_array.dedup_bytes(df, hot=hot).where("n_removed > 0").count() == 0
+    assert suffix_tree.dedup_words(df, hot=hot).where("n_removed > 0").count() == 0
+
+
+def test_tie_places_cover_every_window():
+    for window in (60, 74, 75, 100, 200, 255, 400):
+        length = suffix_array.sample_ranks(np.zeros(31, np.uint8), window)[1]
+        for residue, at in enumerate(np.stack(suffix_array.tie_places(window, length), axis=1)):
+            seen = np.zeros(window, bool)
+            seen[:16] = seen[window - 16 :] = True
+            for p in at.tolist():
+                assert (residue + p) % suffix_array.PERIOD in suffix_array.COVER and 0 <= p <= window - length
+                seen[p : p + length] = True
+            assert seen.all()
+
+
+def test_internal_nodes_are_nested_runs():
+    common = np.array([3, 5, 5, 2, 4, 0, 3])
+    got = sorted(zip(*(x.tolist() for x in suffix_tree.internal_nodes(common, 2)), strict=True))
+    assert got == [(0, 3, 3), (0, 5, 2), (1, 3, 5), (4, 5, 4), (6, 7, 3)]
