@@ -48,10 +48,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         mark, turn = tuple(got), turn + 1
         both = now.select("hi", "lo").union(now.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.save(least, f"{name}-least")  # a table of its own, so that a hot node's join can be split
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        lows = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = scratch.save(large, f"{name}-large")
+        lows = scratch.save(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{name}-lows")
         met = large.join(lows, "hi")
         small = met.select("hi", F.col("m").alias("lo")).union(met.where("lo <> m").select(F.col("lo"), F.col("m"))).toDF("hi", "lo").where("hi <> lo").distinct()
         after = scratch.save(small, f"{name}{turn}")
-        scratch.drop(f"{name}{turn - 1}")
+        scratch.drop(f"{name}{turn - 1}", *[f"{name}-{x}" for x in ("least", "large", "lows")])
         now = after

@@ -1,21 +1,25 @@
 """Operator 8: near-duplicates by DartMinHash.
 
-A document is the set of its five-word shingles (weight 1 each; or their
-counts, `weighted=True`). Hashed darts, a Poisson process of unit rate over
-each element's weight and rank, are thrown into the regions below the weights;
-each of 128 coordinates keeps the dart of least rank, so two documents agree
-in a coordinate with the probability of their weighted Jaccard similarity.
-Only about k ln k + 2k darts are made for a document, whatever its length.
-32 bands of 4 coordinates bring documents together: at similarity 0.8 a pair
-is missed by all bands with probability 5e-8.
-
-Documents with equal sets are one before any pairing. In a bucket every two
-documents of different classes are compared, exactly and on their whole texts;
-one of thousands is cut into blocks, and each two blocks meet in a task. What
-four bands link is merged into classes; in the other bands only buckets with
-several classes are looked at, with all their members, since a link is one of
-texts and not of classes: only pairs already in one class are left out. Links
-become classes by components.py.
+A document is the multiset of its five-word shingles, each weighing as often as
+it occurs (`weighted=False`: 1 each). Hashed darts, a Poisson process of unit
+rate over each element's weight and rank, are thrown into the regions below the
+weights; each of 128 coordinates keeps the dart of least rank, so two documents
+agree in a coordinate with the probability of their weighted Jaccard
+similarity. Only about k ln k + 2k darts are made for a document, whatever its
+length. 32 bands of 4 coordinates bring documents together: at similarity 0.8 a
+pair is missed by all bands with probability 5e-8.
+
+Documents with equal multisets are one before any pairing. Pairs that meet in a
+bucket are held against each other by their signatures first, a byte of each
+coordinate: pairs that agree in too few to be similar (a similar pair is missed
+so with probability 5e-8 at most) are left out. All others are decided exactly,
+on their whole texts. Two rounds only spare work: they link the pairs that
+agree most, in each document's largest bucket, then among one document of each
+class of a bucket. The last round leaves out nothing but pairs already in one
+class: in every bucket with several classes all members of different classes
+are compared, those of the largest class in blocks that the others visit, so a
+large class costs what its size is, not the square. Links become classes by
+components.py.
 
 Cases: documents without a word (null, empty) are classes of their own; one of
 one to four words is a single shingle; texts are taken whole; repeated rows are
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +40,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.anchors import _powers, mix, prefix_sums, symbols_of
+from quillon.llm.anchors import mix, symbols_of
 from quillon.llm.common import Scratch, give_back, packed_row, row_keyed, sliced, table, text_buffer
 from quillon.llm.components import components, local_stars
 from quillon.llm.repeats import RID, squeezed
 
-SHINGLE, COORDINATES, BANDS, FIRST_BANDS = 5, 128, 32, 4
+SHINGLE, COORDINATES, BANDS = 5, 128, 32
 SIMILAR = 0.8
-#: Rows, and shingles, of a block; a bucket of more is cut into blocks, and every two of them meet in a cell.
-SPLIT, BLOCK = 2000, 1 << 18
+#: Rows of a block of signatures; partners of a document that one task compares with it.
+SPLIT, SALT = 4096, 512
+#: Rows, and shingles, of a block of texts.
+TEXTS, BLOCK = 2000, 1 << 18
+#: Candidates for each row of a cell beyond which its texts are compared in blocks instead of pair by pair.
+DENSE = 16
 FINEST = 2.0**-4
 #: Shingles of documents whose signatures are made together.
 TOGETHER = 1 << 17
 #: Pairs of a cell up to which they are compared one by one; rows of a cell compared with all others at once.
 FEW, TILE = 64, 128
+#: Probability at most that the signatures of a similar pair rule it out.
+MISSED = 5e-8
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -57,8 +68,21 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     w = min(n, SHINGLE)
-    sums = prefix_sums(codes)
-    return mix((sums[w:] - sums[:-w]) * _powers(n)[1][: n - w + 1] + np.uint64(w))
+    out = np.full(n - w + 1, w, np.uint64)
+    for k in range(w):
+        out = mix((out ^ codes[k : n - w + 1 + k]) + np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+@lru_cache(maxsize=8)
+def least_agreement(similar: float, k: int = COORDINATES) -> int:
+    """Coordinates in which a similar pair agrees but for MISSED."""
+    total = 0.0
+    for n in range(k + 1):
+        total += comb(k, n) * similar**n * (1 - similar) ** (k - n)
+        if total > MISSED:
+            return n
+    return k
 
 
 @lru_cache(maxsize=64)
@@ -184,11 +208,12 @@ def _features(weighted: bool) -> Callable:
                 edges = np.cumsum([0, *[len(el) for el, _ in sets]])
                 both = elements + weights.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
                 marks = [np.add.reduceat(mix(x), edges[:-1]).view(np.int64) for x in (both, both ^ np.uint64(0x94D049BB133111EB))]
-                hashes = band_hashes(signatures(elements, weights, edges))
+                sig = signatures(elements, weights, edges)
+                hashes, marked = band_hashes(sig), [x.tobytes() for x in (mix(sig) >> np.uint64(56)).astype(np.uint8)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(hashes.ravel()))
                 rid = np.asarray(batch.column(0), np.int64)[some[i:j]]
                 size = np.add.reduceat(weights, edges[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(rid), *map(pa.array, [*marks, size]), lists], names=["rid", "fa", "fb", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), *map(pa.array, [*marks, size]), lists, pa.array(marked, pa.binary())], names=["rid", "fa", "fb", "size", "bands", "sketch"])
                 i = j
 
     return run
@@ -308,48 +333,277 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["hi", "lo"])
 
 
-def _links(keyed: DataFrame, rows: DataFrame, similar: float, weighted: bool) -> DataFrame:
-    """Links among classes of rows (key, blocks, class, rid), whose texts are brought to them once a document and cell."""
-    at = F.struct("key", "blocks", F.expr("pmod(xxhash64(rid, key), blocks)").alias("block"))
-    wanted = rows.groupBy("rid", "class").agg(F.collect_list(at).alias("at"))  # at most 32
-    own = squeezed(keyed, False).join(wanted, "rid").select("class", "z", F.explode("at").alias("at")).select("class", "z", "at.*")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    own = own.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "class", "z")
-    own = own.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    compared = _compared(similar, weighted)
-    return own.mapInArrow(lambda batches: local_stars(compared(batches)), "hi long, lo long")
+def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows (i, j), those of a spanning forest of the labels that agree most."""
+    order = np.argsort(agree, kind="stable")
+    i, j = i[order], j[order]
+    kept: list[np.ndarray] = []
+    label = np.unique(label, return_inverse=True)[1]
+    left = np.arange(len(i))
+    while True:
+        a, b = label[i[left]], label[j[left]]
+        left, a, b = (x[a != b] for x in (left, a, b))
+        if not len(left):
+            break
+        best = np.full(int(label.max()) + 1, -1)
+        np.maximum.at(best, a, left)
+        np.maximum.at(best, b, left)
+        chosen = np.unique(best[best >= 0])
+        kept.append(chosen)
+        up = np.arange(len(best))
+        for x, y in zip(label[i[chosen]].tolist(), label[j[chosen]].tolist(), strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return i[at], j[at]
+
+
+def _close(sketch: np.ndarray, size: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, least: int, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of left, rows of right, agreement) of the pairs of different labels that may be similar."""
+    opposite, size_right, label_right = sketch[right], size[right].astype(float), label[right]
+    tile = max(1, (1 << 22) // (COORDINATES * max(1, len(right))))
+    for at in range(0, len(left), tile):
+        own = left[at : at + tile]
+        agree = (sketch[own][:, None, :] == opposite[None]).sum(axis=2, dtype=np.uint8)
+        mine = size[own].astype(float)[:, None]
+        good = (agree >= least) & (label[own][:, None] != label_right) & (np.minimum(mine, size_right) >= similar * np.maximum(mine, size_right))
+        x, y = np.nonzero(good)
+        yield own[x], right[y], agree[x, y]
+
+
+CELL = "key long, x long, y long, side int, inner boolean, rid long, class long, size long, sketch binary"
+#: A pair of documents to be compared, the one with more partners as hub; or, where a cell has many, a member of a block of texts.
+FOUND = "hub long, rid long, key long, blocks long"
+
+
+def _candidates(similar: float, every: bool) -> Callable:
+    """Rows of CELL, sorted by cell (key, x, y): pairs of different classes that may be similar.
+
+    In a cell all rows of side 0 meet those of side 1 and, where it is `inner`, each other.
+    """
+    least = least_agreement(similar)
+
+    def of(cell: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, side, inner, rid, label, size, sketch = cell
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if (label == label[0]).all():
+            return
+        parts = list(_close(sketch, size, label, left, right, least, similar)) if len(right) else []
+        if inner[0]:
+            parts += [(i[i < j], j[i < j], w[i < j]) for i, j, w in _close(sketch, size, label, left, left, least, similar)]
+        i, j, agree = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+        if not len(i):
+            return
+        if not every:
+            i, j = _forest(i, j, agree, label)
+        elif len(i) > DENSE * len(rid):
+            own = np.unique(np.concatenate([i, j]))
+            blocks = max(-(-len(own) // TEXTS), -(-int(size[own].sum()) // BLOCK))
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(rid[own]), pa.array(key[own]), pa.array(np.full(len(own), blocks, np.int64))], names=["hub", "rid", "key", "blocks"])
+            return
+        degree = np.bincount(np.concatenate([i, j]), minlength=len(rid))
+        turn = (degree[j] > degree[i]) | ((degree[j] == degree[i]) & (rid[j] < rid[i]))
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        none = pa.nulls(len(i), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j]), none, none], names=["hub", "rid", "key", "blocks"])
+
+    def few(cols: list[np.ndarray], start: np.ndarray, n: int) -> pa.RecordBatch | None:
+        """All pairs of the cells of n rows that begin at start."""
+        _, _, inner, rid, label, size, sketch = cols
+        side = cols[1]
+        i, j = (np.concatenate(x) for x in zip(*[(start + a, start + b) for a in range(n) for b in range(a + 1, n)], strict=True))
+        use = (label[i] != label[j]) & ((side[i] != side[j]) | (inner[i] & (side[i] == 0)))
+        i, j = i[use], j[use]
+        a, b = size[i], size[j]
+        use = (np.minimum(a, b) >= similar * np.maximum(a, b)) & ((sketch[i] == sketch[j]).sum(axis=1) >= least)
+        i, j = i[use], j[use]
+        lo, hi = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
+        none = pa.nulls(len(i), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), none, none], names=["hub", "rid", "key", "blocks"]) if len(i) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        last = None
+        for batch in sliced(batches, 4096):
+            if not batch.num_rows:
+                continue
+            key, x, y = (np.asarray(batch.column(k), np.int64) for k in range(3))
+            side, inner = np.asarray(batch.column(3), np.int64), batch.column(4).to_numpy(zero_copy_only=False)
+            rid, label, size = (np.asarray(batch.column(k), np.int64) for k in (5, 6, 7))
+            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            cols = [key, side, inner, rid, label, size, sketch]
+            place = np.stack([key, x, y], axis=1)
+            begins = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, [len(key)]])
+            i = 0
+            if last is not None and (place[0] == last).all():
+                held.append([c[: begins[1]] for c in cols])
+                i = 1
+            if held and i < len(begins) - 1:
+                yield from of([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = []
+            start, count = begins[i:-2], np.diff(begins[i:-1])  # the last may go on in the next batch
+            for n in (2, 3):
+                if (got := few(cols, start[count == n], n) if (count == n).any() else None) is not None:
+                    yield got
+            for a, n in zip(start[count > 3].tolist(), count[count > 3].tolist(), strict=True):
+                yield from of([c[a : a + n] for c in cols])
+            if i < len(begins) - 1:
+                held, last = [[c[begins[-2] :] for c in cols]], place[-1]
+        if held:
+            yield from of([np.concatenate(c) for c in zip(*held, strict=True)])
+        held = []
+        give_back()
+
+    return run
+
+
+def _verified(similar: float, weighted: bool) -> Callable:
+    """Rows (hub, salt, is_hub, rid, z), a hub before its partners: links (hi, lo) of those similar to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        own = None
+        for batch in sliced(batches):
+            found: list[tuple[int, int]] = []
+            for hub, is_hub, rid, z in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                raw = np.frombuffer(unpack.decompress(z), np.uint8)
+                got = weighed(symbols_of("words", raw, np.array([0, len(raw)]))[0], weighted)
+                if is_hub:
+                    own = got
+                elif similarity(own, got) >= similar:
+                    found.append((max(hub, rid), min(hub, rid)))
+            yield _pairs(found)
+        give_back()
+
+    return run
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+class Rounds:
+    """Rounds of comparing: buckets in, classes that grow out."""
+
+    def __init__(self, keyed: DataFrame, made: DataFrame, met: DataFrame, scratch: Scratch, similar: float, weighted: bool):
+        self.texts, self.made, self.met, self.scratch = squeezed(keyed, False), made, met, scratch
+        self.similar, self.weighted = similar, weighted
+        self.root: DataFrame | None = None  # (hi, lo)
+
+    def labelled(self) -> DataFrame:
+        """met, with the classes so far."""
+        if self.root is None:
+            return self.met.withColumn("class", F.col("rid"))
+        return self.met.join(self.root.withColumnRenamed("hi", "rid"), "rid", "left").select(*self.met.columns, F.coalesce("lo", "rid").alias("class"))
+
+    def compare(self, cells: DataFrame, every: bool, name: str) -> None:
+        """Compares what meets in cells (rid, class and a list `at` of key, x, y, side, inner) and merges classes."""
+        s = self.scratch
+        rows = self.made.select("rid", "size", "sketch").join(cells, "rid").select("rid", "class", "size", "sketch", F.explode("at").alias("at"))
+        rows = rows.select("at.key", "at.x", "at.y", "at.side", "at.inner", "rid", "class", "size", "sketch")
+        rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")  # side 0 says whether its cell is inner
+        found = s.save(rows.mapInArrow(_candidates(self.similar, every), FOUND), f"{name}-found")
+        if found.isEmpty():
+            return
+        pairs = s.save(found.where("hub is not null").select("hub", "rid").distinct(), f"{name}-pairs")
+        hubs = s.save(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("long").alias("salts")), f"{name}-hubs")
+        salt = F.pmod(F.xxhash64("rid"), F.col("salts"))
+        at = [F.struct("hub", salt.alias("salt"), F.lit(False).alias("is_hub")), F.struct("hub", "salt", F.lit(True).alias("is_hub"))]
+        partners = pairs.join(hubs, "hub").select("rid", at[0].alias("at"))
+        own = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select(F.col("hub").alias("rid"), at[1].alias("at"))
+        wanted = partners.unionByName(own).groupBy("rid").agg(F.collect_list("at").alias("at"))
+        sent = self.texts.join(wanted, "rid").select("rid", "z", F.explode("at").alias("at")).select("at.hub", "at.salt", "at.is_hub", "rid", "z")
+        sent = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
+        verified = _verified(self.similar, self.weighted)
+        links = sent.mapInArrow(lambda batches: local_stars(verified(batches)), "hi long, lo long")
+        dense = found.where("hub is null")
+        if every and not dense.isEmpty():
+            links = links.unionByName(self.dense(dense.join(cells.select("rid", "class"), "rid")))
+        if self.root is not None:
+            links = self.root.unionByName(links)
+        self.root = components(links, s, name)
+        s.drop(f"{name}-found", f"{name}-pairs", f"{name}-hubs")
+
+    def dense(self, rows: DataFrame) -> DataFrame:
+        """Links among rows (rid, key, blocks, class), all of whose texts of a key meet block by block."""
+        at = F.struct("key", "blocks", F.expr("pmod(xxhash64(rid, key), blocks)").alias("block"))
+        wanted = rows.groupBy("rid", "class").agg(F.collect_set(at).alias("at"))
+        own = self.texts.join(wanted, "rid").select("class", "z", F.explode("at").alias("at")).select("class", "z", "at.*")
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        own = own.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "class", "z")
+        own = own.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+        compared = _compared(self.similar, self.weighted)
+        return own.mapInArrow(lambda batches: local_stars(compared(batches)), "hi long, lo long")
+
+    def largest(self) -> None:
+        """Links of each document's largest bucket, those that agree most."""
+        best = self.met.groupBy("rid").agg(F.max_by(F.struct("key", "n"), F.struct("n", "key")).alias("b"))
+        block = F.pmod(F.xxhash64("rid", "b.key"), F.ceil(F.col("b.n") / SPLIT)).cast("long")
+        self.compare(best.select("rid", F.col("rid").alias("class"), F.array(_at("b.key", block, F.lit(0), F.lit(0), F.lit(True))).alias("at")), False, "a")
+
+    def leaders(self) -> None:
+        """Links among the first documents of the classes of each bucket, those that agree most."""
+        each = self.labelled().groupBy("key", "class").agg(F.min("rid").alias("rid"))
+        counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = each.join(self.scratch.save(counts, "counts"), "key")
+        block = F.pmod(F.xxhash64("rid", "key"), F.ceil(F.col("n") / SPLIT)).cast("long")
+        self.compare(rows.groupBy("rid", "class").agg(F.collect_list(_at("key", block, F.lit(0), F.lit(0), F.lit(True))).alias("at")), False, "b")
+
+    def everything(self) -> None:
+        """Links of all pairs of different classes."""
+        rows = self.scratch.save(self.labelled().select("rid", "key", "class"), "labelled")
+        each = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+        big = each.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("most")).where("classes > 1")
+        parts = big.select("key", F.col("most.class").alias("most"), F.ceil(F.col("most.n") / SPLIT).alias("ys"), F.ceil((F.col("all") - F.col("most.n")) / SPLIT).alias("xs"))
+        rows = rows.join(self.scratch.save(parts, "parts"), "key")
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        x, y = F.pmod(F.xxhash64("rid", "key"), F.col("xs")), F.pmod(F.xxhash64("rid", "key"), F.col("ys"))
+        of_most = F.transform(upto("xs"), lambda i: _at("key", i, y, F.lit(1), F.lit(False)))
+        visits = F.transform(upto("ys"), lambda j: _at("key", x, j, F.lit(0), j == 0))
+        others = F.transform(F.filter(upto("xs"), lambda i: i != x), lambda i: _at("key", F.least(x, i), -1 - F.greatest(x, i), (x > i).cast("int"), F.lit(False)))
+        at = F.when(F.col("class") == F.col("most"), of_most.cast(_AT)).otherwise(F.concat(visits.cast(_AT), others.cast(_AT)))
+        cells = rows.select("rid", "class", F.explode(at).alias("at")).groupBy("rid", "class").agg(F.collect_list("at").alias("at"))
+        self.compare(cells, True, "c")
+
+
+_AT = "array<struct<key:bigint,x:bigint,y:bigint,side:int,inner:boolean>>"
+
+
+def _at(key, x, y, side, inner):
+    key = F.col(key) if isinstance(key, str) else key
+    return F.struct(key.alias("key"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("int").alias("side"), inner.alias("inner"))
+
+
+def near_classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, (rid, class) of every document with a word)."""
     scratch = Scratch(docs.sparkSession, "near")
     keyed, _ = row_keyed(docs, scratch)
     texts = keyed.select(F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"))
-    made = scratch.save(texts.mapInArrow(_features(weighted), "rid long, fa long, fb long, size long, bands array<long>"), "features")
-    reps = made.groupBy("fa", "fb").agg(F.min("rid").alias("rep"))
+    made = scratch.save(texts.mapInArrow(_features(weighted), "rid long, fa long, fb long, size long, bands array<long>, sketch binary"), "features")
+    reps = scratch.save(made.groupBy("fa", "fb").agg(F.min("rid").alias("rep")), "reps")  # a table of its own, so that a hot group's join can be split
     members = scratch.save(made.select("rid", "fa", "fb").join(reps, ["fa", "fb"]).select("rid", "rep"), "members")
     alone = made.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    rows = alone.select("rid", "size", F.posexplode("bands").alias("band", "key"))
+    rows = alone.select("rid", F.posexplode("bands").alias("band", "key"))
     marks = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
-    met = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *marks).where("n > 1")
-    met = met.groupBy("x0", "x1", "n").agg(F.min(F.struct("band", "key", "size")).alias("one"))  # of buckets of the same documents, the first
-    blocks = F.greatest(F.ceil(F.col("n") / SPLIT), F.ceil(F.col("one.size") / BLOCK)).cast("long").alias("blocks")
-    met = scratch.save(rows.select("rid", "key").join(met.select("one.key", "one.band", blocks), "key"), "met")
-
-    first = components(_links(keyed, met.where(F.col("band") < FIRST_BANDS).withColumn("class", F.col("rid")), similar, weighted), scratch, "a")
-    later = met.where(F.col("band") >= FIRST_BANDS).join(first.withColumnRenamed("hi", "rid"), "rid", "left")
-    later = later.withColumn("class", F.coalesce("lo", "rid"))
-    several = later.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key")
-    later = scratch.save(later.join(several, "key").select("key", "blocks", "rid", "class"), "later")
-    links = _links(keyed, later, similar, weighted)
-    all_links = components(first.unionByName(links), scratch, "b")
-    root = all_links.withColumnRenamed("hi", "rep")
-    classes = scratch.save(members.join(root, "rep", "left").select("rid", F.coalesce("lo", "rep").alias("class")), "result")
-    scratch.drop("features", "members", "met", "later")
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
+    met = scratch.save(met.groupBy("x0", "x1", "n").agg(F.min("key").alias("key")).select("key", "n"), "buckets")  # of buckets of the same documents, one
+    met = scratch.save(rows.select("rid", "key").join(met, "key"), "met")
+    rounds = Rounds(keyed, made, met, scratch, similar, weighted)
+    rounds.largest()
+    rounds.leaders()
+    rounds.everything()
+    classes = members.withColumn("class", F.col("rep"))
+    if rounds.root is not None:
+        classes = members.join(rounds.root.withColumnRenamed("hi", "rep"), "rep", "left").withColumn("class", F.coalesce("lo", "rep"))
+    classes = scratch.save(classes.select("rid", "class"), "result")
+    scratch.drop("features", "reps", "members", "buckets", "met", "counts", "labelled", "parts")
     return keyed, classes
 
 
-def near_dups(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
+def near_dups(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) -> DataFrame:
     """One row per document: row (all columns but text), class_id and is_first (its class's kept one)."""
     keyed, classes = near_classes(docs, similar, weighted)
     out = keyed.select(F.col(RID).alias("rid"), packed_row(keyed).alias("row")).join(classes, "rid", "left")
@@ -357,7 +611,7 @@ def near_dups(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False)
     return out.select("row", cls.alias("class_id"), (cls == F.col("rid")).alias("is_first"))
 
 
-def without_near_dups(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
+def without_near_dups(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) -> DataFrame:
     """The documents, columns unchanged, less all but the first of each class."""
     keyed, classes = near_classes(docs, similar, weighted)
     gone = classes.where(F.col("class") != F.col("rid")).select(F.col("rid").alias(RID))

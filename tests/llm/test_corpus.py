@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -67,7 +68,7 @@ def test_packing(spark):
 
 def shingle_set(text):
     w = (text or "").encode().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    return Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)]) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
 def expected_classes(rows):
@@ -82,7 +83,7 @@ def expected_classes(rows):
     ids = sorted(sets)
     for i in ids:
         for j in ids:
-            if j < i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if j < i and sets[i] and sets[j] and (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     return {i: root(i) for i in ids}
@@ -108,13 +109,16 @@ def near_corpus(seed):
         w = list(chain)
         w[: 12 * k] = make(12 * k) if k == 0 else [f"k{j}" for j in range(12 * k)]
         texts.append(" ".join(w))
+    line = make(8)
+    texts += [" ".join(line * k) for k in (3, 4, 5, 9, 10, 11)]  # alike as sets, not all as multisets
     rng.shuffle(texts)
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "split"), [(1, 500), (2, 2)])
-def test_near_classes(spark, monkeypatch, seed, split):
-    monkeypatch.setattr(near_dups, "SPLIT", split)
+@pytest.mark.parametrize(("seed", "split", "salt", "dense"), [(1, 4096, 512, 16), (2, 2, 1, 16), (3, 3, 2, 0)])
+def test_near_classes(spark, monkeypatch, seed, split, salt, dense):
+    for name, value in (("SPLIT", split), ("SALT", salt), ("DENSE", dense), ("TEXTS", split)):
+        monkeypatch.setattr(near_dups, name, value)
     rows = near_corpus(seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
     got = near_dups.near_dups(df).select("row.doc_id", "class_id", "is_first").collect()

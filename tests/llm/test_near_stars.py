@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_corpus import SCHEMA, expected_classes, shingle_set
 
@@ -36,19 +37,48 @@ def lost(spark, rows):
 def test_star_pairs_are_mostly_unlike():
     rows = stars(1, 1, 40)
     sets = [shingle_set(t) for _, t in rows]
-    alike = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    alike = sum((a & b).total() >= 0.8 * (a | b).total() for i, a in enumerate(sets) for b in sets[:i])
     assert 40 <= alike < 60 and len(set(expected_classes(rows).values())) == 1
 
 
-def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "FIRST_BANDS", near_dups.BANDS)
+def test_stars_of_hundreds(spark):
     assert lost(spark, stars(2, 1, 400)) == 0
 
 
+def test_without_the_rounds_that_spare_work(spark, monkeypatch):
+    monkeypatch.setattr(near_dups.Rounds, "largest", lambda self: None)
+    monkeypatch.setattr(near_dups.Rounds, "leaders", lambda self: None)
+    assert lost(spark, stars(6, 4, 30)) == 0
+
+
+def test_candidates_of_cells_in_small_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for key, n in enumerate([2, 3, 9, 2, 40, 1, 5]):
+        base = rng.integers(0, 256, near_dups.COORDINATES).astype(np.uint8)
+        for i in range(n):
+            own = base.copy()
+            own[rng.choice(128, int(rng.integers(0, 40)), replace=False)] ^= 1
+            rows.append((key, 0, 0, int(i % 2), key % 2 == 0, len(rows), int(rng.integers(0, 4)) + 100 * key, int(rng.integers(80, 120)), own.tobytes()))
+    rows.sort(key=lambda r: r[:4])
+    names = ["key", "x", "y", "side", "inner", "rid", "class", "size", "sketch"]
+    least = near_dups.least_agreement(0.8)
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[:3] == b[:3] and a[5] < b[5] and a[6] != b[6] and (a[3] != b[3] or (a[3] == 0 and a[4])) and min(a[7], b[7]) >= 0.8 * max(a[7], b[7]):
+                if sum(x == y for x, y in zip(a[8], b[8], strict=True)) >= least:
+                    want.add((a[5], b[5]))
+    for size in (1, 3, 7, 100):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        got = [r for b in near_dups._candidates(0.8, True)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(tuple(sorted((r["hub"], r["rid"]))) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_cells_against_single_comparisons(weighted):
-    import numpy as np
-
     rng = np.random.default_rng(4)
     base = rng.integers(1, 1 << 62, 90).astype(np.uint64)
     sets = []
