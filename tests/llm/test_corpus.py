@@ -41,12 +41,11 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
-    texts = [None, "", "same text", "same text", "long " * 6000, "<|endoftext|> x", "\x1c\x85\u00a0 ü"]
+    texts = [None, "", "same text", "same text", "long " * 6000, "<|endoftext|> x", "a <|endoftext|><|endoftext|>\n <|endoftext|", "\x1c\x85\u00a0 ü"]
     texts += [" ".join(rng.choice(["alpha", "beta", "Gamma", "δ", "12", "\n"]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, "nobody", "c")], SCHEMA)
     got = packing.pack(df, with_ids=True).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in got:
         assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
@@ -66,6 +65,35 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_ids_are_those_of_the_named_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), packing.encoder(path)
+    parts = ["<|endoftext|>", "<|endo", " ", "  ", "\n", "\t", "it's", "I'LL", "1234", "ünï", "漢字", "🙂", "\x85", "\x1c", "\u2003", "…", "word", "Word", "$$", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    assert [own(t) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing, "plain_ranks", lambda spec: None)
+    other = packing.encoder.__wrapped__(path)
+    assert [other(t) for t in texts] == [own(t) for t in texts]
+
+
+def test_packing_by_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 3)
+    df = spark.createDataFrame([(i % 4, "same words" if i % 3 else f"other {i} words " * i, "c") for i in range(80)], SCHEMA)
+    seen = {}
+    for r in packing.pack(df).collect():
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(seen) == list(range(len(seen)))
+    for own in seen.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= packing.SIZE
+
+
 def shingle_set(text):
     w = (text or "").encode().split()
     return Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)]) if len(w) >= 5 else Counter([tuple(w)] if w else [])
