@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -86,58 +86,85 @@ class PerfectHash:
         return self.index[s] if self.key[s] == key else -1
 
 
-class Coder(dict):
-    """Maps a pre-token to its ids; itself the table of recent answers."""
+class Recent(dict):
+    """A table of bounded size of answers for recent pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, of: Callable):
         super().__init__()
+        self.of = of
+
+    def __missing__(self, token: str):
+        if len(self) >= MEMO:
+            self.clear()
+        got = self.of(token)
+        if len(token) <= 64:
+            self[token] = got
+        return got
+
+
+class Coder:
+    """Encodes pre-tokens, decodes ids, and knows recent pre-tokens' ids, their digits and what they decode to."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         keys = list(ranks)
         self.tier = PerfectHash(keys)
         self.ids = [ranks[k] for k in keys]
-        self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.text_of = {v: str(v) for v in self.ids}
-        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        if min(self.single) < 0:
+            raise ValueError("a byte has no rank of its own")
+        #: What two neighbours join to, by their ids; a rank is an id.
+        self.joint = {(a, b): r for k, r in ranks.items() for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None}
+        spaced = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.pattern = regex.compile(spaced.replace("+|", "++|"))  # what ends an alternative gives nothing back
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Recent(self.look_up)
+        self.digits = Recent(lambda token: ",".join(map(str, self.known[token])))
+        self.back = Recent(lambda token: self.decode(self.known[token]))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "digits", "back")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.forget()
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        n, ranks = len(piece), self.ranks
-        end = list(range(1, n + 1))  # a node is known by its first byte
-        before = list(range(-1, n - 1))
-        after = list(range(1, n + 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        n, joint = len(piece), self.joint.get
+        ids = list(map(self.single.__getitem__, piece))  # a node is known by its first byte; -1: joined to one before
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := joint(pair, -1)) >= 0]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or end[j] != stop or not alive[i]:
+            x = heappop(heap)
+            r, i = x >> 32, x & 0xFFFFFFFF
+            j = after[i]
+            if j >= n or ids[i] < 0 or joint((ids[i], ids[j]), -1) != r:
                 continue
-            end[i], alive[j], after[i] = stop, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            p = before[i]
-            if p >= 0 and (r := ranks.get(piece[p : end[i]])) is not None:
-                heapq.heappush(heap, (r, p, end[i]))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = after[i]
-        return tuple(out)
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
+            ids[i], ids[j], k, h = r, -1, after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (r2 := joint((r, ids[k]), -1)) >= 0:
+                    heappush(heap, r2 << 32 | i)
+            if h >= 0 and (r2 := joint((ids[h], r), -1)) >= 0:
+                heappush(heap, r2 << 32 | h)
+        return tuple([x for x in ids if x >= 0])
+
+    def look_up(self, token: str) -> tuple[int, ...]:
         piece = token.encode()
         whole = self.tier.get(piece)
-        got = (self.ids[whole],) if whole >= 0 else self.merge(piece)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(piece) <= 64:
-            self[token] = got
-        return got
+        return (self.ids[whole],) if whole >= 0 else self.merge(piece)
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text)))) if text else []
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text)))) if text else []
+
+    def round_trip(self, text: str | None) -> tuple[str, bytes]:
+        """The ids of a text, as numbers with commas between, and the bytes that they decode to."""
+        tokens = self.pattern.findall(text) if text else []
+        return ",".join(map(self.digits.__getitem__, tokens)), b"".join(map(self.back.__getitem__, tokens))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -184,10 +211,10 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
 def _digests(c: Coder, texts: list[str | None]) -> dict[str, pa.Array]:
     count, coded, back = [], [], []
     for text in texts:
-        ids = c.encode(text)
-        count.append(len(ids))
-        coded.append(hashlib.sha256(",".join(map(c.text_of.__getitem__, ids)).encode()).hexdigest())
-        back.append(hashlib.sha256(c.decode(ids)).hexdigest())
+        ids, raw = c.round_trip(text)
+        count.append(ids.count(",") + 1 if ids else 0)
+        coded.append(hashlib.sha256(ids.encode()).hexdigest())
+        back.append(hashlib.sha256(raw).hexdigest())
     return {"n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
 
 
