@@ -5,8 +5,10 @@ A rule is a host and the start of a path, with a verdict. Rules become a file:
 file into memory; each URL gives as candidates the suffixes of its host, at
 label edges, with the starts of its path that are as long as some rule's path;
 their keys are found by one vectorised binary search a batch, and a match is
-confirmed against the stored string. The longest rule that fits wins. A rule
-list beyond `most` bytes is not mapped but joined with the candidates by key.
+confirmed against the stored string. The longest rule that fits wins, of equally
+long ones that with the longer host; so one rule alone wins. A rule list beyond
+`most` bytes, or one that is a DataFrame, is not mapped but joined with the
+candidates by key, with the same answers.
 
 Cases: null URLs and URLs without `://` have an empty host and path, no rule
 and the default verdict; user parts and ports stay in the host; equal rules
@@ -161,16 +163,16 @@ def joined(df: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: str
     starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
     wanted = places.select("host", "path", F.explode(hosts).alias("h"), starts.alias("starts")).where("host <> ''").select("host", "path", "h", F.explode("starts").alias("s"))
     hits = wanted.select("host", "path", F.concat("h", "s").alias("rule")).join(rules, "rule")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.instr("rule", "/"))).alias("best"))
     out = keyed.drop("at").join(best, ["host", "path"], "left")
     return out.select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str = "allow", most: int = MOST) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, default: str = "allow", most: int = MOST) -> DataFrame:
     """One row per page: row (the other columns), host, path, rule and verdict."""
     host, path = host_and_path(F.col("url").cast("string"))
     df = pages.select(packed_row(pages, ("url", "html")).alias("row"), host.alias("host"), path.alias("path"))
-    if sum(len(r) + 64 for r, _ in rules) > most:
+    if isinstance(rules, DataFrame) or sum(len(r) + 64 for r, _ in rules) > most:
         return joined(df, rules, default)
     name = _shipped(pages.sparkSession, digest_file(rules))
     out = [df.schema["row"], *[StructField(c, StringType()) for c in ("host", "path", "rule", "verdict")]]
@@ -186,7 +188,7 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(rh, rp, verdict)),
-m AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k
+m AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
     FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1
 """

@@ -222,6 +222,16 @@ def test_urls(spark, most):
     assert url_filter.judge(df.limit(0), most=most).collect() == []
 
 
+def test_equally_long_rules_and_rules_as_a_table(spark):
+    rules = [("a.b.c/", "allow"), ("b.c/x/", "block"), ("c/xyz/", "allow"), ("C/xyz/", "block")]
+    pages = spark.createDataFrame([(1, "http://a.b.c/x/1"), (2, "http://b.c/x/1"), (3, "http://q.c/xyz/")], "page_id long, url string")
+    want = {1: ("a.b.c/", "allow"), 2: ("b.c/x/", "block"), 3: ("c/xyz/", "block")}
+    for own in (rules, spark.createDataFrame(rules, "rule string, verdict string")):
+        for most in (url_filter.MOST, 0):
+            got = url_filter.judge(pages, own, most=most).select("row.page_id", "rule", "verdict").collect()
+            assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
 def test_digest_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: len(b))
     d = url_filter.Digests(np.frombuffer(url_filter.digest_file([("aa/", "allow"), ("bb/", "block"), ("c.c/", "allow")]), np.uint8))
