@@ -1,16 +1,17 @@
 """Operator 4: severity of toxicity by cumulative-link ordinal regression.
 
-Features are sparse: which words (lower case) a text has. One weight vector is
-shared by all ordered thresholds: P(grade >= k) = sigmoid(w x - t_k). Labels
-say only whether a document is toxic, so training grades are made of them:
-grade 0 for a clean document; 1, 2 or 3 for a toxic one by how many of the
-sample's marker words (those far commoner in toxic documents) it has, cut at
-the sample's terciles. The expected severity is the sum of P(grade >= k); a
-document is toxic where P(grade >= 1) reaches one half.
+Features are sparse: which words (lower case) a text has, each with the log
+ratio of its shares of toxic and clean documents as its value, the nearer to 0
+the less sure that ratio is. One weight vector is shared by all ordered
+thresholds: P(grade >= k) = sigmoid(w x - t_k). Labels say only whether a
+document is toxic, so training grades are made of them: grade 0 for a clean
+document; 1, 2 or 3 for a toxic one by the sum of its words' values above 0,
+cut at the sample's terciles. The expected severity is the sum of
+P(grade >= k); a document is toxic where P(grade >= 1) reaches one half.
 
 The model is fitted on a bounded sample (a parameter) of labelled rows: those
-least by a hash of their ids, toxic and clean alike. Its vocabulary is bounded
-too, and so is what is broadcast.
+least by a hash of their ids, toxic and clean alike. All their words are
+features, none is left out; the sample bounds what is broadcast.
 
 Cases: null and empty texts have only the bias; texts are read whole; a
 document labelled several times is toxic if any label says so; null labels are
@@ -35,11 +36,11 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 from quillon.llm.common import give_back, packed_row, sliced, table
 
 WORD = regex.compile(r"\p{L}+")
-#: Labelled documents of either kind, and words, that a model is fitted on.
-SAMPLE, VOCABULARY = 2500, 4096
+#: Labelled documents of either kind that a model is fitted on.
+SAMPLE = 2500
 GRADES = 3
-#: Standard errors between the shares of toxic and clean documents that make a word a feature.
-TELLING = 3.5
+#: Standard errors between a word's shares of toxic and clean documents at which it counts half of its log ratio.
+SURE = 4.0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -57,28 +58,29 @@ class Ordinal:
         if not clean or not toxic:
             return cls({}, [50.0, 60.0, 70.0])
         a, b = (Counter(w for d in docs for w in d) for docs in (clean, toxic))
-        p, q = ({w: (c[w] + 0.5) / (len(d) + 1) for w in a.keys() | b.keys()} for c, d in ((a, clean), (b, toxic)))
         n, m = len(clean), len(toxic)
-        z = {w: (q[w] - p[w]) / np.sqrt(max(1e-9, (s := (a[w] + b[w] + 1) / (n + m + 2)) * (1 - s) * (1 / n + 1 / m))) for w in p if a[w] + b[w] >= 3}
-        vocabulary = sorted(sorted((w for w in z if abs(z[w]) >= TELLING), key=lambda w: (-abs(z[w]), w))[:VOCABULARY])
-        markers = {w for w in vocabulary if z[w] > 4 and q[w] > 4 * p[w]}
-        found = np.array([sum(w in markers for w in d) for d in toxic])
+        vocabulary = sorted(a.keys() | b.keys())
+        in_clean, in_toxic = (np.array([c[w] for w in vocabulary], float) for c in (a, b))
+        p, q = (in_clean + 0.5) / (n + 1), (in_toxic + 0.5) / (m + 1)
+        share = (in_clean + in_toxic + 1) / (n + m + 2)
+        sure = ((q - p) ** 2 / (share * (1 - share) * (1 / n + 1 / m)) / SURE**2) ** 2
+        value = (np.log(q) - np.log(p)) * sure / (1 + sure)  # a word's feature value; near 0 for one that chance explains
+        tells = dict(zip(vocabulary, value.tolist(), strict=True))
+        found = np.array([sum(max(0.0, tells[w]) for w in sorted(d)) for d in toxic])
         low, high = np.quantile(found, [1 / 3, 2 / 3])
         grade = np.concatenate([np.zeros(n, np.int64), 1 + (found > low) + (found > high)])
         at = {w: i for i, w in enumerate(vocabulary)}
-        rows, cols = [], []
-        for i, d in enumerate([*clean, *toxic]):
-            own = [at[w] for w in d if w in at]
-            rows += [i] * len(own)
-            cols += own
-        rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+        docs = [*clean, *toxic]
+        rows = np.repeat(np.arange(n + m), [len(d) for d in docs])
+        cols = np.fromiter((at[w] for d in docs for w in d), np.int64, len(rows))
+        held = value[cols]
         balance = np.concatenate([np.full(n, 0.5 / n), np.full(m, 0.5 / m)])
         theta = np.zeros(len(vocabulary) + GRADES)
         theta[-GRADES:] = [0.0, np.log(1.0), np.log(1.0)]  # first threshold, log gaps between the others
         mean, square = np.zeros_like(theta), np.zeros_like(theta)
         for turn in range(1, rounds + 1):
             weights, cut = theta[:-GRADES], np.cumsum([theta[-GRADES], *np.exp(theta[1 - GRADES :])])
-            score = np.bincount(rows, weights[cols], n + m)
+            score = np.bincount(rows, weights[cols] * held, n + m)
             above = 1 / (1 + np.exp(-np.clip(score[:, None] - cut, -40, 40)))
             step = np.concatenate([np.ones((n + m, 1)), above, np.zeros((n + m, 1))], axis=1)
             i = np.arange(n + m)
@@ -86,7 +88,7 @@ class Ordinal:
             slope = step * (1 - step)
             d_low, d_high = slope[i, grade] / p_grade * balance, slope[i, grade + 1] / p_grade * balance
             g = np.zeros_like(theta)
-            g[:-GRADES] = -np.bincount(cols, (d_low - d_high)[rows], len(vocabulary)) + decay * weights
+            g[:-GRADES] = -np.bincount(cols, (d_low - d_high)[rows] * held, len(vocabulary)) + decay * weights
             g_cut = np.zeros(GRADES + 2)
             np.add.at(g_cut, grade, d_low)
             np.add.at(g_cut, grade + 1, -d_high)
@@ -97,7 +99,7 @@ class Ordinal:
             square = 0.999 * square + 0.001 * g * g
             theta -= 0.1 * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.999**turn)) + 1e-8)
         cut = np.cumsum([theta[-GRADES], *np.exp(theta[1 - GRADES :])])
-        return cls({w: float(x) for w, x in zip(vocabulary, theta, strict=False) if abs(x) > 1e-4}, cut.tolist())
+        return cls({w: float(x * v) for w, x, v in zip(vocabulary, theta, value, strict=False) if x * v}, cut.tolist())
 
     def above(self, text: str | None) -> list[float]:
         """P(grade >= k) for k = 1, 2, 3."""

@@ -85,8 +85,45 @@ def test_ordinal_model_grades_and_generalises():
     assert model.above(None)[0] < 0.5 and model.above("Slurone " + " ".join(plain[:80]))[0] > 0.5
 
 
+def test_fitted_model_minimises_the_ordinal_loss():
+    """The loss, worked out document by document from the definition, is least at the fitted weights."""
+    rng = random.Random(5)
+    plain = ["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(60)]
+    clean = [tuple(sorted(set(rng.choices(plain, k=20)))) for _ in range(60)]
+    toxic = [tuple(sorted(set(rng.choices(plain, k=20)) | set(rng.sample(["slurone", "slurtwo", "slurthree", "slurfour"], rng.randint(1, 4))))) for _ in range(40)]
+    model = toxicity.Ordinal.fit(clean, toxic, rounds=3000)
+    share = lambda w, docs: (sum(w in d for d in docs) + 0.5) / (len(docs) + 1)
+
+    def value(w):
+        p, q = share(w, clean), share(w, toxic)
+        s = (sum(w in d for d in [*clean, *toxic]) + 1) / (len(clean) + len(toxic) + 2)
+        z = (q - p) / (s * (1 - s) * (1 / len(clean) + 1 / len(toxic))) ** 0.5
+        return np.log(q / p) * z**4 / (z**4 + toxicity.SURE**4)
+
+    values = {w: value(w) for d in [*clean, *toxic] for w in d}
+    found = [sum(max(0, values[w]) for w in d) for d in toxic]
+    low, high = np.quantile(found, [1 / 3, 2 / 3])
+    graded = [(d, 0) for d in clean] + [(d, 1 + (f > low) + (f > high)) for d, f in zip(toxic, found, strict=True)]
+
+    def loss(weights, cuts):
+        total = 1e-4 * sum((x / values[w]) ** 2 for w, x in weights.items())
+        for d, grade in graded:
+            score = sum(weights[w] for w in d)
+            at_least = [1.0, *[1 / (1 + np.exp(-(score - c))) for c in cuts], 0.0]
+            total -= np.log(at_least[grade] - at_least[grade + 1]) * 0.5 / (len(clean) if grade == 0 else len(toxic))
+        return total
+
+    best = loss(model.weights, model.thresholds)
+    for w in rng.sample(sorted(model.weights), 12):
+        for step in (-0.3, 0.3):
+            assert loss(model.weights | {w: model.weights[w] + step * abs(values[w])}, model.thresholds) > best - 1e-4
+    for k in range(3):
+        for step in (-0.3, 0.3):
+            assert loss(model.weights, [c + step * (i == k) for i, c in enumerate(model.thresholds)]) > best - 1e-4
+
+
 def test_toxicity_cases(spark):
-    df = frame(spark, ["good day to you", "you vile idiot", None, ""] * 10)
+    df = frame(spark, ["good day to you", "you vile idiot", None, ""] * 9 + ["good day " * 50_000, "you vile idiot " * 50_000, None, ""])
     labels = spark.createDataFrame([(i, 0, 1 if i % 4 == 1 else 0) for i in range(40)] + [(None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(df, labels)
     got = {r[0]: r[1] for r in toxicity.score(df, model).select("row.doc_id", "is_toxic").collect()}
@@ -109,6 +146,52 @@ def test_mixture_finds_both_languages():
     assert model.mixture("12 34 !") == {} and model.mixture(None) == {}
 
 
+def test_mixture_against_plain_loops():
+    rng = random.Random(7)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    model = language.Model.fit([("aa", make("abcdefg", 200)), ("bb", make("efghijk", 200)), ("cc", make("ijklmno", 200))])
+
+    def expected(text):
+        grams = [tuple(model.p[b]) for b in language.trigrams(text).tolist()]
+
+        def em(langs):
+            share = {k: 1 / len(langs) for k in langs}
+            for _ in range(30 if len(langs) > 1 else 1):
+                new = dict.fromkeys(langs, 0.0)
+                for p in grams:
+                    total = sum(p[k] * share[k] for k in langs)
+                    for k in langs:
+                        new[k] += p[k] * share[k] / total / len(grams)
+                close = max(abs(new[k] - share[k]) for k in langs) < 1e-4
+                share = new
+                if close:
+                    break
+            return sum(np.log(sum(p[k] * share[k] for k in langs)) for p in grams) - 0.5 * np.log(len(grams) + 1) * len(langs), share
+
+        langs = [0, 1, 2]
+        best, share = em(langs)
+        while len(langs) > 1:
+            fewer = [k for k in langs if k != min(langs, key=lambda k: share[k])]
+            fit, new = em(fewer)
+            if fit < best:
+                break
+            langs, best, share = fewer, fit, new
+        return {model.langs[k]: share[k] / sum(share.values()) for k in langs}
+
+    for text in (make("abcdefg", 40), make("abcdefg", 30) + " " + make("ijklmno", 30), make("efghijk", 5), make("abcdefghijklmno", 50), "q"):
+        got, want = model.mixture(text), expected(text)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
+
+
+def test_language_with_repeated_and_null_ids(spark):
+    texts = {"en": "the cat and the dog", "fr": "les chats et les chiens"}
+    for doc_id in (5, None):
+        rows = [(doc_id, f"{texts[lang]} {i}", lang) for i in range(300) for lang in texts]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = language.identify(df, language.fit(df, 50)).select("row.lang", "lang_pred").distinct().collect()
+        assert {(r[0], r[1]) for r in got} == ({("en", "en"), ("fr", "fr")} if zlib.crc32(b"5") % 4 != 2 or doc_id is None else {("en", "und"), ("fr", "und")})
+
+
 def test_language_cases(spark):
     df = frame(spark, ODD).withColumn("lang", F.lit("xx"))
     got = {r[0]: (r[1], r[2], r[3]) for r in language.identify(df, language.fit(df)).select("row.doc_id", "lang_pred", "score", "held_out").collect()}
