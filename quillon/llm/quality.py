@@ -3,10 +3,13 @@
 Each document is measured in its own row (no explode, no shuffle of text).
 Failures of any rule are added up by host (the `source` column) with map-side
 combining; a host's failure rate is shrunk towards the corpus by a beta prior
-whose two parameters are fitted to the hosts' rates by moments. A host whose
-shrunk rate reaches `host_limit` is suspect, and its documents are then held
-to half of each soft limit. A document that breaks no halved limit stays, so
-clean documents of a suspect host are never lost.
+whose two parameters are fitted to the hosts' rates by moments. Hosts are
+judged against that prior: one whose shrunk rate is over its mean by more than
+`SUSPECT` of its standard deviations is suspect, and its documents are held to
+half of each soft limit; one that is under the mean by more than `CLEARED` is
+cleared, and its documents may break a soft limit. Any other document that
+breaks one goes. A document that breaks no halved limit stays, so clean
+documents of a suspect host are never lost.
 
 Cases: null text counts as empty (no words, so it fails); null and empty hosts
 are one host; very long texts are measured whole in n log n; repeated rows are
@@ -28,7 +31,8 @@ WINDOW = 5
 
 #: Soft limits, in percent: symbols of word characters, repeated lines of lines.
 SYMBOL_LIMIT, LINE_LIMIT = 20, 40
-HOST_LIMIT = 0.5
+#: Standard deviations of the prior over, or under, its mean.
+SUSPECT, CLEARED = 2.0, 1.0
 
 
 def let(value: Column, body) -> Column:
@@ -84,8 +88,8 @@ def soft_failed(divisor: int) -> Column:
     return (divisor * 100 * F.col("n_symbols") > SYMBOL_LIMIT * F.col("word_chars")) | (divisor * 100 * F.col("n_dup_lines") > LINE_LIMIT * F.col("n_lines"))
 
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """Each host's documents, failures and shrunk failure rate."""
+def host_verdicts(rows: DataFrame, suspect: float = SUSPECT, cleared: float = CLEARED) -> DataFrame:
+    """Each host's documents, failures, shrunk failure rate, and whether it is suspect or cleared."""
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("any_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
     fit = hosts.agg(F.sum("host_failed").alias("f"), F.sum("host_docs").alias("n"), F.var_pop(rate).alias("v")).first()
@@ -93,11 +97,18 @@ def host_rates(rows: DataFrame) -> DataFrame:
     spread = fit["v"] or 0.0
     strength = mean * (1 - mean) / spread - 1 if spread > 0 else 10_000.0
     strength = min(max(strength, 1.0), 10_000.0)
+    deviation = (mean * (1 - mean) / (strength + 1)) ** 0.5
     shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk)
+    return hosts.withColumns({"host_rate": shrunk, "host_suspect": shrunk > mean + suspect * deviation, "host_cleared": shrunk < mean - cleared * deviation})
 
 
-def quality_rules(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def _stays() -> Column:
+    """Whether the method keeps a document that doesn't fail the base rules."""
+    suspect, cleared = (F.coalesce(c, F.lit(False)) for c in ("host_suspect", "host_cleared"))
+    return ~(soft_failed(1) & ~cleared) & ~(soft_failed(2) & suspect)
+
+
+def quality_rules(docs: DataFrame, suspect: float = SUSPECT, cleared: float = CLEARED) -> DataFrame:
     """One row per document: row (its other columns), the measures, base_failed, kept and the host's figures.
 
     The measures are written once, so that text is read once although they are
@@ -106,24 +117,23 @@ def quality_rules(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     and splits a hot host's rows otherwise.
     """
     rows = Scratch(docs.sparkSession, "quality").save(measured(docs), "measured")
-    hosts = host_rates(rows).select("host", "host_docs", "host_failed", (F.col("host_rate") >= host_limit).alias("host_suspect"))
-    out = rows.join(hosts, "host", "left")
-    kept = ~F.col("base_failed") & ~(F.coalesce("host_suspect", F.lit(False)) & soft_failed(2))
-    return out.withColumn("kept", kept)
+    hosts = host_verdicts(rows, suspect, cleared).select("host", "host_docs", "host_failed", "host_suspect", "host_cleared")
+    return rows.join(hosts, "host", "left").withColumn("kept", ~F.col("base_failed") & _stays())
 
 
-def good_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+def good_documents(docs: DataFrame, suspect: float = SUSPECT, cleared: float = CLEARED) -> DataFrame:
     """`row` (all columns, text too) of the documents that quality_rules keeps.
 
     Only documents near a limit meet their hosts' verdicts, so no other text is shuffled.
     """
     rows = Scratch(docs.sparkSession, "quality").save(measured(docs, ()).withColumn("doubtful", soft_failed(2)), "measured")
-    hosts = host_rates(rows.select("host", "any_failed")).where(F.col("host_rate") >= host_limit).select("host")
+    hosts = host_verdicts(rows.select("host", "any_failed"), suspect, cleared).where("host_suspect or host_cleared").select("host", "host_suspect", "host_cleared")
     sound = rows.where("not base_failed and not doubtful").select("row")
-    return sound.unionByName(rows.where("not base_failed and doubtful").join(hosts, "host", "left_anti").select("row"))
+    doubtful = rows.where("not base_failed and doubtful").join(hosts, "host", "left")
+    return sound.unionByName(doubtful.where(_stays()).select("row"))
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed", "host_suspect"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed", "host_suspect", "host_cleared"]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -150,10 +160,12 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 h AS (SELECT host, count(*) AS host_docs, count(*) FILTER (WHERE base_failed OR soft) AS host_failed FROM b GROUP BY host),
 f AS (SELECT sum(host_failed) / sum(host_docs) AS mean, var_pop(host_failed / host_docs) AS spread FROM h),
 s AS (SELECT mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE 10000.0 END, 1.0), 10000.0) AS strength FROM f),
-v AS (SELECT host, host_docs, host_failed, (host_failed + mean * strength) / (host_docs + strength) >= {HOST_LIMIT} AS host_suspect FROM h, s)
+e AS (SELECT mean, strength, sqrt(mean * (1 - mean) / (strength + 1)) AS deviation FROM s),
+v AS (SELECT host, host_docs, host_failed, (host_failed + mean * strength) / (host_docs + strength) AS rate, mean, deviation FROM h, e),
+w AS (SELECT host, host_docs, host_failed, rate > mean + {SUSPECT} * deviation AS host_suspect, rate < mean - {CLEARED} * deviation AS host_cleared FROM v)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
     CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-    NOT base_failed AND NOT (host_suspect AND half) AS kept,
-    CAST(host_docs AS BIGINT) AS host_docs, CAST(host_failed AS BIGINT) AS host_failed, host_suspect
-FROM b JOIN v USING (host)
+    NOT base_failed AND NOT (soft AND NOT host_cleared) AND NOT (host_suspect AND half) AS kept,
+    CAST(host_docs AS BIGINT) AS host_docs, CAST(host_failed AS BIGINT) AS host_failed, host_suspect, host_cleared
+FROM b JOIN w USING (host)
 """

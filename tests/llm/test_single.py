@@ -54,13 +54,16 @@ def test_quality_measures(spark):
 
 def test_quality_hosts(spark):
     clean = " ".join(f"word{i}" for i in range(30))
-    noisy = " ".join(f"w{i}#" for i in range(30))  # between half the limit and the limit... or beyond it
-    near = " ".join(f"wordy{i}" + "#" * (i % 6 == 0) for i in range(60)) + "#" * 55
-    data = [(i, "x", "bad") for i in range(200)] + [(1000, clean, "bad"), (1001, near, "bad"), (1002, near, "good"), (1003, noisy, "good"), (1004, clean, None)]
-    data += [(2000 + i, clean, "good") for i in range(200)]
+    noisy = " ".join(f"w{i}#" for i in range(30))  # beyond the limit
+    near = " ".join(f"wordy{i}" for i in range(60)) + "#" * 55  # between half of it and all
+    data = [(i, "x" if i % 10 else clean, "bad") for i in range(200)] + [(1000, clean, "bad"), (1001, near, "bad"), (1002, near, "fair0"), (1003, noisy, "fair0"), (1004, clean, None), (1005, noisy, "good"), (1006, near, "good")]
+    data += [(2000 + 100 * k + i, "x" if i < 30 else clean, f"fair{k}") for k in range(12) for i in range(100)]
+    data += [(9000 + i, clean, "good") for i in range(900)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    kept = {r[0]: r[1] for r in quality.quality_rules(df).select("row.doc_id", "kept").collect()}
-    assert kept[1000] and not kept[1001] and kept[1002] and kept[1004] and not kept[0]
+    rows = quality.quality_rules(df).select("row.doc_id", "kept", "host", "host_suspect", "host_cleared").collect()
+    kept = {r[0]: r[1] for r in rows}
+    assert {r.host for r in rows if r.host_suspect} == {"bad"} and {r.host for r in rows if r.host_cleared} == {"good"}
+    assert kept[1000] and not kept[1001] and kept[1002] and not kept[1003] and kept[1004] and kept[1005] and kept[1006] and not kept[1]
     stay = {r["doc_id"] for r in quality.good_documents(df).select("row.*").collect()}
     assert stay == {k for k, v in kept.items() if v}
 
