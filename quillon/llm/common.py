@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ INNER = "__q_"
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset (local tests), a temporary folder is made once and set.
+    Where it is unset, one is made for a session that runs in a single process;
+    on a cluster each machine would write to its own disk, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -30,6 +33,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before:
         return set_before.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
     root = tempfile.mkdtemp(prefix="quillon-")
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{root}")
@@ -37,22 +42,44 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage and can be dropped when consumed."""
+    """Parquet tables in the shared folder that cut lineage and can be dropped when consumed.
+
+    What a result still reads stays until `sweep`, or until the driver ends.
+    """
+
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/quillon-{label}-{uuid.uuid4().hex}"
+        self.made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
+    def _delete(self, where: str) -> None:
         sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop(self, *names: str) -> None:
         for name in names:
-            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.base}/{name}")
+
+    @classmethod
+    def sweep(cls, *keep: Scratch) -> None:
+        """Deletes the tables of all others: for when their results are written."""
+        for scratch in [s for s in cls.made if s not in keep]:
+            scratch._delete(scratch.base)
+            cls.made.remove(scratch)
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        Scratch.sweep()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -209,3 +209,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(left[3][i] == texts[i] for i in range(30))
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == set(left[3])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(5000)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    a, b, long = make(120), make(120), make(60_000)
+    docs = [(None, a, "s"), (None, b, None), (7, a, "s"), (7, make(80), "s"), (8, long, "s"), (9, None, "s"), (9, "", "s"), (9, " \n", None), (10, make(50), ""), (10, make(50), "")]
+    schema = "doc_id long, text string, source string"
+    labels = spark.createDataFrame([(7, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
+    for at, rows in (("odd", docs), ("none", [])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{at}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    tokens = Counter()
+    for r in got:
+        tokens[r.doc_id] += r.length
+    assert tokens.keys() == {None, 7, 8, 10}  # the copy of a under no id goes: null ids come last
+    assert tokens[8] > 60_000 and all(r.doc_tokens > 1 for r in got)
