@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.llm.common import Scratch
@@ -37,23 +37,29 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Every round's edges are a table in the shared folder: lineage stays short
     and a lost executor costs no round. Minima are combined map-side and hot
-    nodes are joined, not gathered.
+    nodes are joined, not gathered; minima are tables of their own, so that a hot
+    node's join can be split. What is written is counted on the way, which tells
+    when a round changes nothing.
     """
-    now = scratch.save(edges.toDF("hi", "lo").where("hi <> lo"), f"{name}0")
-    mark, turn = None, 0
-    while True:
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(got) == mark or not got[0]:
-            return now
-        mark, turn = tuple(got), turn + 1
+
+    def saved(df: DataFrame, part: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum"))
+        out = scratch.save(df, part)
+        return out, (seen.get["n"], seen.get["sum"])
+
+    now, mark = saved(edges.toDF("hi", "lo").where("hi <> lo"), f"{name}0")
+    last, turn = None, 0
+    while mark != last and mark[0]:
+        last, turn = mark, turn + 1
         both = now.select("hi", "lo").union(now.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = scratch.save(least, f"{name}-least")  # a table of its own, so that a hot node's join can be split
+        least = scratch.save(least, f"{name}-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         large = scratch.save(large, f"{name}-large")
         lows = scratch.save(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{name}-lows")
         met = large.join(lows, "hi")
         small = met.select("hi", F.col("m").alias("lo")).union(met.where("lo <> m").select(F.col("lo"), F.col("m"))).toDF("hi", "lo").where("hi <> lo").distinct()
-        after = scratch.save(small, f"{name}{turn}")
+        now, mark = saved(small, f"{name}{turn}")
         scratch.drop(f"{name}{turn - 1}", *[f"{name}-{x}" for x in ("least", "large", "lows")])
-        now = after
+    return now
