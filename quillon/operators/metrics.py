@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.regexops import let
-from quillon.operators.suppress import hook_lines
+from quillon.operators.suppress import HOOKS, hook_lines
 
 #: Line ends as Python's splitlines knows them.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 LINK = r"""!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]\([ \t\n]*(<[^<>\n]*>|[^\s()<][^\s()]*(?:\([^\s()]*\)[^\s()]*)*|)(?:[ \t\n]+(?:"[^"]*"|'[^']*'|\([^()]*\)))?[ \t\n]*\)"""
+#: A link reference definition, and a use of one: [text][label], [label][] or [label].
+DEFINITION = r"(?m)^ {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:\n[ \t]*)?(<[^<>\n]*>|[^\s<]\S*)[^\n]*$"
+REFERENCE = r"!?\[((?:[^\[\]\\]|\\.)+)\](?:\[((?:[^\[\]\\]|\\.)*)\])?(?![(\[:])"
 CODE = r"(?s)(?<!`)(`++)(?!`).*?(?<!`)\1(?!`)|(?m:^ {0,3}```.*?(?:^ {0,3}```|\z))"
 
 
@@ -25,16 +28,16 @@ def split_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.posexplode(kept).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def line_width(docs: DataFrame, max_chars: int = 300, key: str = "doc_id", hook: str = "markdown-width") -> DataFrame:
+def line_width(docs: DataFrame, max_chars: int = 300, key: str = "doc_id", hook: str = "markdown-width", tool: str = HOOKS) -> DataFrame:
     """(key, line, width) of lines over the limit that are neither table rows nor suppressed.
 
     Only documents with a directive have their lines shuffled for the running state.
     """
     wide = (F.length("text") > max_chars) & ~F.col("text").rlike(r"(?U)^[\s\x1c-\x1f]*\|")
     out = lambda df: df.select(key, "line", F.length("text").alias("width"))
-    marked = _text().contains("bestprek-")
+    marked = _text().contains(f"{tool}-")
     plain = split_lines(docs.where(~marked), key).where(wide)
-    return out(plain).unionByName(out(hook_lines(split_lines(docs.where(marked), key), hook, key).where(wide & ~F.col("suppressed"))))
+    return out(plain).unionByName(out(hook_lines(split_lines(docs.where(marked), key), hook, key, tool).where(wide & ~F.col("suppressed"))))
 
 
 def code_length(docs: DataFrame, max_lines: int = 1000, key: str = "doc_id") -> DataFrame:
@@ -66,10 +69,30 @@ def directory_counts(files: DataFrame, changed: DataFrame | None = None, max_fil
 
 
 def links(docs: DataFrame, key: str = "path") -> DataFrame:
-    """(key, kind, destination) of inline links and images outside code."""
-    found = F.regexp_extract_all(F.regexp_replace(_text(), CODE, " "), F.lit(LINK), F.lit(0))
-    df = docs.select(key, F.explode(F.when(_text().contains("]("), found).otherwise(F.array().cast("array<string>"))).alias("hit"))
-    target = F.regexp_replace(F.regexp_extract("hit", LINK, 1), r"^<|>$", "")
+    """(key, kind, destination) of links and images outside code, inline ones and those by reference."""
+    plain = F.regexp_replace(_text(), CODE, " ")
+    none = F.array().cast("array<struct<hit:string,target:string>>")
+    inline = F.transform(F.regexp_extract_all(plain, F.lit(LINK), F.lit(0)), lambda h: F.struct(h.alias("hit"), F.regexp_extract(h, LINK, 1).alias("target")))
+
+    def label(raw: Column) -> Column:
+        return F.lower(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+
+    def by_reference(text: Column) -> Column:
+        defined = F.transform(F.regexp_extract_all(text, F.lit(DEFINITION), F.lit(0)), lambda d: F.struct(label(F.regexp_extract(d, DEFINITION, 1)).alias("label"), F.regexp_extract(d, DEFINITION, 2).alias("target")))
+
+        def used(known: Column) -> Column:
+            def of(h: Column) -> Column:
+                own, other = F.regexp_extract(h, REFERENCE, 1), F.regexp_extract(h, REFERENCE, 2)
+                return F.struct(h.alias("hit"), F.get(F.filter(known, lambda d: d["label"] == label(F.when(other != "", other).otherwise(own))), F.lit(0))["target"].alias("target"))
+
+            uses = F.transform(F.regexp_extract_all(F.regexp_replace(text, DEFINITION, ""), F.lit(REFERENCE), F.lit(0)), of)
+            return F.filter(uses, lambda u: u["target"].isNotNull())
+
+        return let(defined, used)
+
+    found = F.concat(F.when(_text().contains("]("), inline).otherwise(none), F.when(_text().contains("]:"), let(plain, by_reference)).otherwise(none))
+    df = docs.select(key, F.inline(found))
+    target = F.regexp_replace("target", r"^<|>$", "")
     return df.select(key, F.when(F.col("hit").startswith("!"), "image").otherwise("link").alias("kind"), F.regexp_replace(target, r"\\([!-/:-@\[-`{-~])", "$1").alias("destination"))
 
 

@@ -1,63 +1,75 @@
-"""Lines, paragraphs, sentences and sections as arrays with offsets, and as tables; native expressions only."""
+"""Lines, paragraphs, sentences and sections as arrays with offsets, and as tables.
+
+Paragraphs and sentences come from one linear Arrow pass over each text; a
+native fold over sentences copies its result at each step, which is quadratic
+in long documents.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.regexops import WORD, column_of, cut, find_spans, let, line_of, normalised, stripped, word_count
+from quillon.functions.regexops import WORD, column_of, line_of, word_count
 
 # Abbreviations whose dot ends no sentence, and what may close one.
-ABBREVIATIONS = ["e.g", "i.e", "etc", "vs", "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "fig", "no"]
+ABBREVIATIONS = ["e.g.", "i.e.", "etc.", "vs.", "mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "st.", "fig.", "no."]
 CLOSERS = ".!?\"'”’)]"
 
-#: The dot is tried before the look behind, which then runs at dots only.
-SENTENCE = r"(?isU)\G.*?(?:[!?]|\.(?<!(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.)(?<!\b[a-z]\.))[.!?\"'”’)\]]*+(?=\s|\z)"
-PARAGRAPH = r"(?mdU)^[^\S\n]*+\S[^\n]*+(?:\n[^\S\n]*+\S[^\n]*+)*+"
-UNITS = "array<struct<start:int,end:int,text:string,words:int>>"
-
-
-def paragraphs(structural: Column) -> Column:
-    """Runs of lines that are not blank, of four words or more."""
-    found = F.transform(find_spans(structural, PARAGRAPH), lambda s: let(cut(structural, s), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("text"), word_count(t).alias("words"))))
-    return F.filter(found, lambda p: p["words"] >= 4)
-
-
-def sentences(units: Column) -> Column:
-    """Sentences of each paragraph, in order; what follows the last full stop is none."""
-
-    def of(p: Column) -> Column:
-        pieces = F.regexp_extract_all(p["text"], F.lit(SENTENCE), F.lit(0))
-        zero = F.struct(p["start"].alias("at"), F.array().cast(UNITS).alias("out"))
+S, NS, GAP = r"\p{White_Space}", r"\P{White_Space}", r"[\p{White_Space}--\n]"
+PARAGRAPH = regex.compile(rf"(?V1m)^{GAP}*+{NS}[^\n]*+(?:\n{GAP}*+{NS}[^\n]*+)*+")
+#: The dot is tried before the looks behind, which then run at dots only.
+SENTENCE_END = regex.compile(r"(?i)(?:[!?]|\.(?<!(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + rf"))(?<!\b[a-z]\.))[{re.escape(CLOSERS)}]*+(?={S}|\Z)")
+SPACES, EDGES = regex.compile(rf"{S}++"), regex.compile(rf"{S}*+({NS}(?:.*{NS})?)", regex.DOTALL)
+WORDS = re.compile(WORD)
+UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("section", pa.int32())])
+SEGMENTS = "struct<paragraphs:array<struct<start:int,end:int,text:string,words:int,section:int>>,sentences:array<struct<start:int,end:int,text:string,words:int,section:int>>>"
 
-        def step(acc: Column, piece: Column) -> Column:
-            def grown(text: Column) -> Column:
-                start = acc["at"] + F.length(F.regexp_extract(piece, r"(?U)^\s*+", 0))
-                plain = normalised(text)
-                unit = F.struct(start.alias("start"), (start + F.length(text)).alias("end"), plain.alias("text"), word_count(plain).alias("words"))
-                out = F.when(word_count(text) > 0, F.concat(acc["out"], F.array(unit))).otherwise(acc["out"])
-                return F.struct((acc["at"] + F.length(piece)).alias("at"), out.alias("out"))
 
-            return let(stripped(piece), grown)
+def paragraphs(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, text, words) of the runs of lines that are not blank, of four words or more."""
+    found = ((m.start(), m.end(), m[0]) for m in PARAGRAPH.finditer(text))
+    return [(a, b, t, n) for a, b, t in found if (n := len(WORDS.findall(t))) >= 4]
 
-        return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
-    return F.flatten(F.transform(units, of))
+def sentences(paragraph: str, at: int) -> list[tuple[int, int, str, int]]:
+    """(start, end, text on one line, words) of a paragraph's sentences; what follows the last full stop is none."""
+    ends = [m.end() for m in SENTENCE_END.finditer(paragraph)]
+    out = []
+    for a, b in zip([0, *ends], ends, strict=False):
+        m = EDGES.match(paragraph, a, b)
+        if m and (n := len(WORDS.findall(m[1]))):
+            out.append((at + m.start(1), at + m.end(1), SPACES.sub(" ", m[1]), n))
+    return out
 
 
-def section(headings: Column, offset: Column) -> Column:
-    """Number of headings that start at or before an offset."""
-    return F.size(F.filter(headings, lambda h: h["start"] <= offset))
+def _units(each: list[list[tuple]], heads: list[list[int]]) -> pa.Array:
+    """Units of all texts as one array of lists, with the number of headings that start at or before each."""
+    flat = [u for own in each for u in own]
+    start, end, text, words = (list(x) for x in zip(*flat, strict=True)) if flat else ([], [], [], [])
+    section = [bisect_right(h, u[0]) for own, h in zip(each, heads, strict=True) for u in own]
+    columns = [pa.array(c, t.type) for c, t in zip((start, end, text, words, section), UNIT, strict=True)]
+    offsets = np.cumsum([0, *map(len, each)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(UNIT)))
 
 
-def with_sections(units: Column, headings: Column) -> Column:
-    return F.transform(units, lambda u: u.withField("section", section(headings, u["start"])))
+def _segmented(structural: pa.Array, headings: pa.Array) -> pa.Array:
+    heads = [sorted(h["start"] for h in own or ()) for own in headings.to_pylist()]
+    large = [paragraphs(t or "") for t in structural.to_pylist()]
+    small = [[s for a, _, t, _ in own for s in sentences(t, a)] for own in large]
+    return pa.StructArray.from_arrays([_units(large, heads), _units(small, heads)], names=["paragraphs", "sentences"])
 
 
 def segmented(df: DataFrame) -> DataFrame:
     """A projected DataFrame with the columns paragraphs, sentences (start, end, text, words, section) and n_words."""
-    df = df.withColumn("paragraphs", with_sections(paragraphs(F.col("structural")), F.col("headings")))
-    df = df.withColumn("sentences", with_sections(sentences(F.col("paragraphs")), F.col("headings")))
+    df = df.withColumn("_s", F.arrow_udf(_segmented, SEGMENTS)("structural", "headings"))
+    df = df.withColumns({"paragraphs": F.col("_s.paragraphs"), "sentences": F.col("_s.sentences")}).drop("_s")
     return df.withColumn("n_words", word_count(F.col("visible")))
 
 

@@ -17,8 +17,8 @@ from quillon.operators.debold import debolded
 from quillon.operators.lint import lint, rules_table, summary, verdicts
 from quillon.operators.projection import projected
 from quillon.operators.suppress import scopes
-from quillon.plans import seeds
-from quillon.plans.catalogue import RULES, resolve
+from quillon.plans import cases, seeds
+from quillon.plans.catalogue import RULES, resolve, settings
 from quillon.sources.files import as_annotations, as_json, as_text
 
 
@@ -131,18 +131,29 @@ def mask_html(spark, sf_dir):
 
 
 def projection(spark, sf_dir):
-    df = projected(seeds.seeded(_docs(spark, sf_dir)))
-    return df.select("doc_id", F.md5("visible").alias("visible"), F.md5("structural").alias("structural"), *[F.size(c).alias(c) for c in ("headings", "bold", "parenthetical")])
+    """The views and spans of each document with a worked case of Markdown."""
+    df = projected(cases.appended(_docs(spark, sf_dir), [v.text for v in cases.VIEWS], [v.front for v in cases.VIEWS]))
+    name = F.get(F.array(*[F.lit(v.name) for v in cases.VIEWS]), F.pmod("doc_id", F.lit(len(cases.VIEWS))).cast("int"))
+    spans = [F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c) for c in ("headings", "bold", "parenthetical")]
+    return df.select("doc_id", name.alias("name"), *[F.md5(c).alias(c) for c in ("visible", "structural", "suppression")], *spans)
 
 
 def suppression_scopes(spark, sf_dir):
-    df = projected(seeds.seeded(_docs(spark, sf_dir)))
-    return df.select("doc_id", F.inline_outer(scopes(F.col("suppression")))).where("selector is not null")
+    df = projected(cases.appended(_docs(spark, sf_dir), [t for t, _ in cases.SCOPES]))
+    df = df.select("doc_id", F.inline_outer(scopes(F.col("suppression")))).where("selector is not null")
+    return df.select("doc_id", "selector", F.col("from").cast("long"), F.col("to").cast("long"))
 
 
 def strip_bold(spark, sf_dir):
-    df = debolded(seeds.seeded(_docs(spark, sf_dir)))
-    return df.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text"))
+    df = debolded(cases.appended(_docs(spark, sf_dir), [t for t, _ in cases.BOLD]))
+    return df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text"))
+
+
+def hook_directives(spark, sf_dir):
+    """Wide lines of one worked case for each document, less those that the hook's directives cover."""
+    own = F.get(F.array(*[F.lit(t) for t, _ in cases.WIDTHS]), F.pmod("doc_id", F.lit(len(cases.WIDTHS))).cast("int"))
+    df = metrics.line_width(_docs(spark, sf_dir).select("doc_id", own.alias("text")), max_chars=20)
+    return df.select("doc_id", F.col("line").cast("long"), F.col("width").cast("long"))
 
 
 def findings(spark, sf_dir):
@@ -171,7 +182,8 @@ def _reported(sink: Callable) -> Callable:
 
 
 def links_missing(spark, sf_dir):
-    docs = seeds.seeded(_docs(spark, sf_dir)).select(F.concat(F.lit("d"), (F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    path = F.concat(F.lit("d"), (F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    docs = cases.appended(_docs(spark, sf_dir), [t for t, _ in cases.LINKS]).select(path.alias("path"), "text")
     there = spark.range(0, 10).select(F.explode(F.array(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit("/docs/a.md")), F.lit("docs/b.md"))).alias("path"))
     return metrics.links_missing(docs, docs.select("path").union(there))
 
@@ -180,12 +192,59 @@ def rule_catalogue(spark, sf_dir):
     return rules_table(spark).select("id", "recommended", "strict")
 
 
+def _case_docs(spark, sf_dir) -> DataFrame:
+    return cases.alone(_docs(spark, sf_dir), [t for t, _ in cases.PROSE])
+
+
+def _case_lint(spark, sf_dir) -> DataFrame:
+    return lint(_case_docs(spark, sf_dir), resolve("strict"))
+
+
+def case_findings(spark, sf_dir):
+    """All rules on a worked case for each document."""
+    found = _case_lint(spark, sf_dir)
+    return found.select("doc_id", "rule", "severity", *[F.col(c).cast("long") for c in ("line", "column", "end_line", "end_column", "n")], "detail", "message", "suggestion")
+
+
+def case_summary(spark, sf_dir):
+    return summary(_case_lint(spark, sf_dir))
+
+
+def case_verdicts(spark, sf_dir):
+    return verdicts(_case_docs(spark, sf_dir), _case_lint(spark, sf_dir)).withColumn("worst", F.col("worst").cast("long"))
+
+
+def case_report_text(spark, sf_dir):
+    """With the lines that findings begin in."""
+    return as_text(_case_lint(spark, sf_dir), "doc_id", _case_docs(spark, sf_dir))
+
+
+def case_report_json(spark, sf_dir):
+    return as_json(_case_lint(spark, sf_dir), "doc_id")
+
+
+def case_report_annotations(spark, sf_dir):
+    return as_annotations(_case_lint(spark, sf_dir), "doc_id")
+
+
+def configurations(spark, sf_dir):
+    """What worked configurations and arguments change against the recommended rules; no table has any part in it."""
+    number = lambda x: str(int(x)) if x == int(x) else str(x)
+    rows, plain = [], {a.rule.id: a for a in resolve()}
+    for c, ((preset, fail_level), config, _, _) in enumerate(cases.CONFIGS):
+        rules, fail = settings(preset, fail_level, config)
+        changed = [a for a in rules if (a.severity, a.options) != (plain[a.rule.id].severity, plain[a.rule.id].options)]
+        rows += [(c, fail, a.rule.id, a.severity, ",".join(f"{k}={number(v)}" for k, v in sorted(a.options.items()))) for a in changed] or [(c, fail, "", "", "")]
+    return spark.createDataFrame(rows, "config long, fail_level string, rule string, severity string, options string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         line_width, markdown_size, code_length, directory_counts, word_counts, paragraphs, sentences, sentence_variation, short_sentence_runs, opener_runs, echoed_clauses,
-        phrase_hits, residue, no_chains, em_dash_density, loaded_words, contrasts_questions_lists, mask_html, projection, suppression_scopes, strip_bold,
+        phrase_hits, residue, no_chains, em_dash_density, loaded_words, contrasts_questions_lists, mask_html, projection, suppression_scopes, strip_bold, hook_directives,
         findings, findings_recommended, findings_summary, findings_by_rule, document_verdicts, links_missing, rule_catalogue,
+        case_findings, case_summary, case_verdicts, case_report_text, case_report_json, case_report_annotations, configurations,
     )
 } | {"report_text": _reported(as_text), "report_json": _reported(as_json), "report_annotations": _reported(as_annotations)}
 
@@ -193,7 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # What follows is SQL for DuckDB.
 
 W = "[A-Za-z0-9]+(?:[’''][A-Za-z0-9]+)*(?:-[A-Za-z0-9]+)*"
-_GUARD = "(?i)(" + "|".join(a.replace(".", r"\.") for a in segments.ABBREVIATIONS) + r")\."
+_GUARD = "(?i)(" + "|".join(a[:-1].replace(".", r"\.") for a in segments.ABBREVIATIONS) + r")\."
 _INITIAL = r"(^|[^\pL\pN\pM_])([A-Za-z])\."
 
 
@@ -243,7 +302,7 @@ def _phrases(rules: list, count: str = "count(*)") -> str:
 
 _PIECES = rf"list_filter(list_transform(string_split_regex(text, '\s*[,;]\s*(?:(?:and|or)\s+)?'), lambda x: list_transform(regexp_extract_all(x, '{W}'), lambda y: lower(y))), lambda x: len(x) >= 3)"
 _MASK = r"array_to_string(list_transform(list_zip(string_split_regex({0}, '{1}'), regexp_extract_all({0}, '{1}')), lambda x: x[1] || coalesce(regexp_replace(x[2], '[^\r\n]', ' ', 'g'), '')), '')"
-_LOADED_KEYS = "CASE " + " ".join(f"WHEN starts_with(lower(m), '{stem}') THEN '{name}'" for name, (stem, _) in checks.LOADED.items()) + " END"
+_LOADED_KEYS = "CASE " + " ".join(f"WHEN regexp_matches(m, '(?i){form}') THEN '{name}'" for name, form in checks.LOADED.items()) + " END"
 
 ORACLES: dict[str, str] = {
     "line_width": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
@@ -266,7 +325,19 @@ SELECT doc_id, n, detail FROM r WHERE detail IS NOT NULL AND NOT regexp_matches(
     "residue": _phrases([("artifact.chatbot-residue", checks.RESIDUE)]),
     "no_chains": _phrases([("rhetoric.no-chain", checks.NO_CHAIN.replace("++", "+"))], r"sum(len(regexp_extract_all(m, '(?i)\bno\s+')))"),
     "em_dash_density": f"WITH RECURSIVE b AS ({seeds.SEEDED_PLAIN_SQL}), {_clusters(_marks('—', chr(39) + 'x' + chr(39)), 3, 500)} SELECT doc_id, e - l + 1 AS n FROM cl",
-    "loaded_words": f"WITH RECURSIVE b AS ({seeds.SEEDED_PLAIN_SQL}), {_clusters(_marks('(?i)' + chr(92) + 'b(?:' + '|'.join(s + e for s, e in checks.LOADED.values()) + ')' + chr(92) + 'b', _LOADED_KEYS), 1, 500)} SELECT doc_id, key AS detail, e - l + 1 AS n FROM cl",
+    "loaded_words": f"WITH RECURSIVE b AS ({seeds.SEEDED_PLAIN_SQL}), {_clusters(_marks('(?i)' + '|'.join(checks.LOADED.values()), _LOADED_KEYS), 1, 500)} SELECT doc_id, key AS detail, e - l + 1 AS n FROM cl",
     "mask_html": f"WITH a AS (SELECT page_id, {_MASK.format('html', '(?s)<!--.*?-->')} AS h FROM pages), m AS (SELECT page_id, {_MASK.format('h', '</?[A-Za-z][^>' + chr(92) + 'n]*>')} AS m FROM a) SELECT page_id, length(m) AS n_chars, md5(m) AS masked FROM m",
     "rule_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.recommended}', '{r.strict or r.recommended}')" for r in RULES) + ") AS t(id, recommended, strict)",
+    "projection": cases.VIEWS_SQL,
+    "suppression_scopes": cases.SCOPES_SQL,
+    "strip_bold": cases.BOLD_SQL,
+    "hook_directives": cases.WIDTHS_SQL,
+    "links_missing": cases.LINKS_SQL,
+    "case_findings": cases.FINDINGS_SQL,
+    "case_summary": cases.SUMMARY_SQL,
+    "case_verdicts": cases.VERDICTS_SQL,
+    "case_report_text": cases.TEXT_SQL,
+    "case_report_json": cases.JSON_SQL,
+    "case_report_annotations": cases.ANNOTATIONS_SQL,
+    "configurations": cases.CONFIGS_SQL,
 }

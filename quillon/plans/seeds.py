@@ -28,7 +28,7 @@ MARKED = [
     "# One\n\nText in order to see.\n\n## Two\n\nMore.\n\n### Three\n\nMore.\n\n# Four\n\n# Five\n\n# Six\n\nEnd of it all.",
     "Some **bold one**, **two**, **three**, **four**, **five**, **six**, **seven** and __eight__ words (an aside here) stay.",
     "```\nin order to\n```\n\nUse `in order to` or $x + y$ and \\(a*b\\) in order to win.\n\n> in order to quote\n\n- in order to list",
-    "<!-- unslop-disable verbosity.filler -->\nin order to hide.\n<!-- unslop-enable verbosity.filler -->\nin order to show. <!-- unslop-ignore -->\nin order to report.\n<!-- unslop-disable-next-line verbosity.* -->\nin order to skip.",
+    "<!-- quillon-disable verbosity.filler -->\nin order to hide.\n<!-- quillon-enable verbosity.filler -->\nin order to show. <!-- quillon-ignore -->\nin order to report.\n<!-- quillon-disable-next-line verbosity.* -->\nin order to skip.",
     "a | b\n--- | ---\nin order to | x\n\nTitle in order to\n=====\n\n[in order to](http://example.com/in) see ![alt](img.png).",
     "***x*** and **a** b, 2 ** 3 ** 4, foo__bar__baz, `**code**` and **open\n\n**again** (1) (see page two) (and three).",
     "See [here](docs/a.md), [there](/docs/b.md#part), [gone](missing.md), [far](https://example.com/x) and ![pic](img/p%20q.png).",

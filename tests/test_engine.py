@@ -177,7 +177,7 @@ def test_regexops(spark):
 
 
 def test_suppression(spark):
-    text = "0\n<!-- unslop-disable a.b, c.* -->\n2 <!-- unslop-ignore x -->\n<!-- unslop-enable a.b -->\n4\n<!-- unslop-disable-next-line -->\n6\n<!-- UNSLOP-disable all -->\n8\n<!-- unslop-enable -->\n10"
+    text = "0\n<!-- quillon-disable a.b, c.* -->\n2 <!-- quillon-ignore x -->\n<!-- quillon-enable a.b -->\n4\n<!-- quillon-disable-next-line -->\n6\n<!-- QUILLON-disable all -->\n8\n<!-- quillon-enable -->\n10"
     rules, lines = ["a.b", "c.d", "x"], text.count("\n") + 1
     df = spark.createDataFrame([(text,)], "t string").select(scopes(F.col("t")).alias("s"))
     df = df.select("s", F.explode(F.sequence(F.lit(1), F.lit(lines))).alias("line")).select("s", "line", F.explode(F.array(*map(F.lit, rules))).alias("rule"))
@@ -214,7 +214,7 @@ def test_strip_bold(spark):
 
 
 def test_metrics(spark, tmp_path):
-    docs = frame(spark, ["a" * 301, "|" + "a" * 301, "a" * 300, None, "<!-- bestprek-disable markdown-width -- why -->\n" + "a" * 301 + "\n<!-- bestprek-enable -->\n" + "b" * 302 + "\n" + "c" * 303 + " <!-- bestprek-disable-line -->\n<!-- bestprek-disable other -->\n" + "d" * 304])
+    docs = frame(spark, ["a" * 301, "|" + "a" * 301, "a" * 300, None, "<!-- quillon-hook-disable markdown-width -- why -->\n" + "a" * 301 + "\n<!-- quillon-hook-enable -->\n" + "b" * 302 + "\n" + "c" * 303 + " <!-- quillon-hook-disable-line -->\n<!-- quillon-hook-disable other -->\n" + "d" * 304])
     assert sorted(map(tuple, metrics.line_width(docs).collect())) == [(0, 1, 301), (4, 4, 302), (4, 7, 304)]
     sizes = frame(spark, ["a" * 20480, "a" * 20481, None])
     assert [(r.doc_id, r.bytes, r.kb, r.budget_k_tokens) for r in metrics.markdown_size(sizes).collect()] == [(1, 20481, 21, 5)]
