@@ -26,7 +26,7 @@ def per_document(docs: DataFrame, rules: Sequence[Active], key: str = "doc_id")
         return lambda f: F.struct(F.lit(i).alias("rule_no"), f["start"].alias("start"), f["end"].alias("end"), f["n"].alias("n"), f["detail"].alias("detail"))
 
     parts = [F.transform(checks.check(a), numbered(i)) for i, a in enumerate(active)]
-    df = segmented(projected(docs.select(key, "text")))
+    df = checks.with_hits(segmented(projected(docs.select(key, "text"))), active)
     none = F.array().cast("array<struct<rule_no:int,start:int,end:int,n:int,detail:string>>")
     return df.select(key, "text", scopes(F.col("suppression")).alias("scopes"), F.concat(*parts).alias("findings") if parts else none.alias("findings"))
 

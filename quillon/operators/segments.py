@@ -28,33 +28,39 @@ PARAGRAPH = regex.compile(rf"(?V1m)^{GAP}*+{NS}[^\n]*+(?:\n{GAP}*+{NS}[^\n]*+)*+
 SENTENCE_END = regex.compile(r"(?i)(?:[!?]|\.(?<!(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + rf"))(?<!\b[a-z]\.))[{re.escape(CLOSERS)}]*+(?={S}|\Z)")
 SPACES, EDGES = regex.compile(rf"{S}++"), regex.compile(rf"{S}*+({NS}(?:.*{NS})?)", regex.DOTALL)
 WORDS = re.compile(WORD)
-UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("section", pa.int32())])
-SEGMENTS = "struct<paragraphs:array<struct<start:int,end:int,text:string,words:int,section:int>>,sentences:array<struct<start:int,end:int,text:string,words:int,section:int>>>"
+UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("opener", pa.string()), ("section", pa.int32())])
+SEGMENTS = "struct<paragraphs:array<struct<start:int,end:int,text:string,words:int,opener:string,section:int>>,sentences:array<struct<start:int,end:int,text:string,words:int,opener:string,section:int>>>"
 
 
-def paragraphs(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, text, words) of the runs of lines that are not blank, of four words or more."""
-    found = ((m.start(), m.end(), m[0]) for m in PARAGRAPH.finditer(text))
-    return [(a, b, t, n) for a, b, t in found if (n := len(WORDS.findall(t))) >= 4]
+def _counted(text: str) -> tuple[int, str | None]:
+    """A unit's number of words, and its first two in lower case."""
+    words = WORDS.findall(text)
+    return len(words), " ".join(words[:2]).lower().replace("’", "'") if len(words) > 1 else None
 
 
-def sentences(paragraph: str, at: int) -> list[tuple[int, int, str, int]]:
-    """(start, end, text on one line, words) of a paragraph's sentences; what follows the last full stop is none."""
+def paragraphs(text: str) -> list[tuple]:
+    """(start, end, text, words, opener) of the runs of lines that are not blank, of four words or more."""
+    found = ((m.start(), m.end(), m[0], *_counted(m[0])) for m in PARAGRAPH.finditer(text))
+    return [p for p in found if p[3] >= 4]
+
+
+def sentences(paragraph: str, at: int) -> list[tuple]:
+    """(start, end, text on one line, words, opener) of a paragraph's sentences; what follows the last full stop is none."""
     ends = [m.end() for m in SENTENCE_END.finditer(paragraph)]
     out = []
     for a, b in zip([0, *ends], ends, strict=False):
         m = EDGES.match(paragraph, a, b)
-        if m and (n := len(WORDS.findall(m[1]))):
-            out.append((at + m.start(1), at + m.end(1), SPACES.sub(" ", m[1]), n))
+        if m and (n := _counted(m[1]))[0]:
+            out.append((at + m.start(1), at + m.end(1), SPACES.sub(" ", m[1]), *n))
     return out
 
 
 def _units(each: list[list[tuple]], heads: list[list[int]]) -> pa.Array:
     """Units of all texts as one array of lists, with the number of headings that start at or before each."""
     flat = [u for own in each for u in own]
-    start, end, text, words = (list(x) for x in zip(*flat, strict=True)) if flat else ([], [], [], [])
+    columns = [list(x) for x in zip(*flat, strict=True)] if flat else [[] for _ in range(5)]
     section = [bisect_right(h, u[0]) for own, h in zip(each, heads, strict=True) for u in own]
-    columns = [pa.array(c, t.type) for c, t in zip((start, end, text, words, section), UNIT, strict=True)]
+    columns = [pa.array(c, t.type) for c, t in zip([*columns, section], UNIT, strict=True)]
     offsets = np.cumsum([0, *map(len, each)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(UNIT)))
 
@@ -62,7 +68,7 @@ def _units(each: list[list[tuple]], heads: list[list[int]]) -> pa.Array:
 def _segmented(structural: pa.Array, headings: pa.Array) -> pa.Array:
     heads = [sorted(h["start"] for h in own or ()) for own in headings.to_pylist()]
     large = [paragraphs(t or "") for t in structural.to_pylist()]
-    small = [[s for a, _, t, _ in own for s in sentences(t, a)] for own in large]
+    small = [[s for p in own for s in sentences(p[2], p[0])] for own in large]
     return pa.StructArray.from_arrays([_units(large, heads), _units(small, heads)], names=["paragraphs", "sentences"])
 
 
