@@ -23,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_suffix_array_dedup": suffix_array.ORACLE,
+    "op3_substring_dedup": suffix_tree.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
 }

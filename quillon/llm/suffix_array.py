@@ -189,3 +189,22 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 56, hot: int = 2
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _doubled(n: int) -> str:
+    """SQL that numbers the strings of 2 n bytes by those of n."""
+    return f"n{2 * n} AS (SELECT * EXCLUDE m, dense_rank() OVER (ORDER BY n{n}, m) AS n{2 * n} FROM (SELECT *, lead(n{n}, {n}) OVER (PARTITION BY doc_id ORDER BY i) AS m FROM n{n}))"
+
+
+#: Bytes as pairs of hexadecimal digits; strings of 1, 2, 4 ... 128 bytes are numbered one after the other, and 200 = 128 + 64 + 8.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS ds FROM documents),
+n1 AS (SELECT doc_id, unnest(ds) AS n1, generate_subscripts(ds, 1) AS i FROM t),
+{', '.join(_doubled(1 << k) for k in range(7))},
+w AS (SELECT doc_id, i, n1 AS digits, n128 AS a, lead(n64, 128) OVER q AS b, lead(n8, 192) OVER q AS c, lead(i, 199) OVER q AS last FROM n128 WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, digits, last IS NOT NULL AND count(*) OVER (PARTITION BY a, b, c, last IS NULL) > 1 AS again FROM w),
+r AS (SELECT doc_id, i, digits, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 1 AS gone FROM g),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM r),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(digits, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(ds) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""

@@ -145,3 +145,14 @@ def dedup_words(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 256
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_words(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+q AS (SELECT doc_id, word, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS seq FROM w),
+g AS (SELECT doc_id, word, i, len(seq) = 20 AND row_number() OVER (PARTITION BY array_to_string(seq, ' ') ORDER BY doc_id, i) > 1 AS again FROM q),
+r AS (SELECT doc_id, word, i, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM g),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""
