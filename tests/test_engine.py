@@ -4,16 +4,19 @@ import json
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillon.functions.regexops import find_spans, i_forms, mask_matches, without_overlaps
 from quillon.functions.windows import equal_runs, index_clusters, window_repeats
-from quillon.operators import metrics
+from quillon.operators import metrics, segments
+from quillon.operators.checks import _spans, searches
 from quillon.operators.debold import debolded, strip_bold
 from quillon.operators.lint import failed, lint, ordered, summary, verdicts
 from quillon.operators.projection import project, projected
 from quillon.operators.segments import segmented
 from quillon.operators.suppress import scopes, suppressed
+from quillon.plans import cases
 from quillon.plans.catalogue import BY_ID, RULES, read_config, resolve, settings
 from quillon.sources.files import as_annotations, as_json, as_text, read_texts, tracked_files
 
@@ -105,6 +108,27 @@ def test_segments(spark):
             assert " ".join(t[s.start : s.end].split()) == s.text
 
 
+def test_worked_views_and_bold():
+    for v in cases.VIEWS:
+        got = project(v.front + "word" + cases.GAP + v.text)
+        parts = zip(v.views(v.front), v.views(v.text), strict=True)
+        assert [got["visible"], got["structural"], got["suppression"]] == [a + "word" + cases.GAP + b for a, b in parts], v.name
+        for own, pieces in (("headings", v.headings), ("bold", v.bold), ("parenthetical", v.asides)):
+            shift = len(v.front) + len("word" + cases.GAP)
+            assert [(s["start"], s["end"]) for s in got[own]] == [(a, b) if early else (shift + a, shift + b) for early, a, b in v.places(pieces)], v.name
+    for text, want in cases.BOLD:
+        assert strip_bold(text) == want and strip_bold(want) == want
+
+
+def test_a_long_document_is_segmented_and_searched_once():
+    text = "We walk in order to see. " * 40_000
+    (whole,) = segments.paragraphs(text)
+    assert len(segments.sentences(whole[2], whole[0])) == 40_000
+    own = searches(resolve("strict"))
+    (spans,) = _spans(regex.compile(own["verbosity_filler"][1]), [text]).to_pylist()
+    assert len(spans) == 40_000 and spans[-1]["end"] == len(text) - len(" see. ")
+
+
 def test_projection_keeps_lengths_and_lines():
     rng = random.Random(1)
     parts = ["```", "~~~", "`", "``", "$", "$$", "\\(", "\\)", "\\[", "\\]", "**", "__", "*", "<!--", "-->", "<pre>", "</pre>", "[a](b)", "![a](b)", "# h", "===", "---", "- x", "> q", "a | b", "--- | ---", "\n", "\n\n", " ", "    ", "word", "é🙂", "https://x.y/z", "(aside)", "\\"]
