@@ -18,8 +18,11 @@ agree most, in each document's largest bucket, then among one document of each
 class of a bucket. The last round leaves out nothing but pairs already in one
 class: in every bucket with several classes all members of different classes
 are compared, those of the largest class in blocks that the others visit, so a
-large class costs what its size is, not the square. Links become classes by
-components.py.
+large class costs what its size is, not the square. Where a bucket's candidates
+are many, the texts of its members are compared in blocks, by matrix products;
+such buckets that share members (the bands of one large group) are compared as
+one set, each pair once and not once a band, wherever that is less work. Links
+become classes by components.py.
 
 Cases: documents without a word (null, empty) are classes of their own; one of
 one to four words is a single shingle; texts are taken whole; repeated rows are
@@ -56,8 +59,12 @@ DENSE = 16
 FINEST = 2.0**-4
 #: Shingles of documents whose signatures are made together.
 TOGETHER = 1 << 17
+#: Bytes of texts that are read together to be compared.
+BYTES = 1 << 20
 #: Pairs of a cell up to which they are compared one by one; rows of a cell compared with all others at once.
 FEW, TILE = 64, 128
+#: Candidates of a cell that are held before they are cut to a forest.
+HELD = 1 << 20
 #: Probability at most that the signatures of a similar pair rule it out.
 MISSED = 5e-8
 
@@ -184,6 +191,32 @@ def weighed(codes: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
     return own, (count if weighted else np.ones(len(own), np.int64))
 
 
+def all_weighed(codes: np.ndarray, first: np.ndarray, weighted: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """`weighed` of each document's codes, whose windows are hashed in one go."""
+    windows = shingles(codes) if len(codes) >= SHINGLE else codes
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if hi - lo < SHINGLE:
+            out.append(weighed(codes[lo:hi], weighted))
+            continue
+        own, count = np.unique(windows[lo : hi - SHINGLE + 1], return_counts=True)
+        out.append((own, count if weighted else np.ones(len(own), np.int64)))
+    return out
+
+
+def unpacked(packed: list[bytes], weighted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The weighted set of each packed text; some are read together."""
+    unpack = zstandard.ZstdDecompressor()
+    held, size = [], 0
+    for i, z in enumerate(packed):
+        held.append(unpack.decompress(z))
+        size += len(held[-1])
+        if size >= BYTES or i == len(packed) - 1:
+            edges = np.cumsum([0, *map(len, held)])
+            yield from all_weighed(*symbols_of("words", np.frombuffer(b"".join(held), np.uint8), edges), weighted)
+            held, size = [], 0
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two sorted weighted sets."""
     if len(b[0]) < len(a[0]):
@@ -203,7 +236,8 @@ def _features(weighted: bool) -> Callable:
             i = 0
             while i < len(some):
                 j = max(i + 1, int(np.searchsorted(first[some], first[some[i]] + TOGETHER, "right")) - 1)
-                sets = [weighed(codes[first[d] : first[d + 1]], weighted) for d in some[i:j]]
+                lo, hi = first[some[i]], first[some[j - 1] + 1]
+                sets = all_weighed(codes[lo:hi], np.append(first[some[i:j]], hi) - lo, weighted)
                 elements, weights = (np.concatenate(x) for x in zip(*sets, strict=True))
                 edges = np.cumsum([0, *[len(el) for el, _ in sets]])
                 both = elements + weights.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
@@ -286,11 +320,12 @@ def _merged(sets: list[np.ndarray], classes: np.ndarray, left: np.ndarray, right
 
 def _units(own: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
     """A weighted set as a sorted plain one: an element once for each unit of its weight."""
-    if not weighted:
-        return own[0]
     elements, weights = own
-    nth = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
-    return np.sort(mix(np.repeat(elements, weights) ^ mix(nth.astype(np.uint64))))
+    if not weighted or (weights == 1).all():
+        return elements
+    more = weights - 1
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    return np.sort(np.concatenate([elements, mix(np.repeat(elements, more) ^ mix(nth.astype(np.uint64)))]))
 
 
 def _compared(similar: float, weighted: bool) -> Callable:
@@ -309,16 +344,14 @@ def _compared(similar: float, weighted: bool) -> Callable:
         return list({(int(c), int(x)) for c, x in zip(classes, label, strict=True) if c != x})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         last, cell = None, []
         for batch in sliced(batches):
             found: list[tuple[int, int]] = []
-            for key, a, b, block, cls, z in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            *places, packed = (batch.column(i).to_pylist() for i in range(6))
+            for key, a, b, block, cls, own in zip(*places, unpacked(packed, weighted), strict=True):
                 if (key, a, b) != last:
                     found += links(cell) if cell else []
                     last, cell = (key, a, b), []
-                raw = np.frombuffer(unpack.decompress(z), np.uint8)
-                own = weighed(symbols_of("words", raw, np.array([0, len(raw)]))[0], weighted)
                 cell.append((block, cls, _units(own, weighted)))
             yield _pairs(found)
         found = links(cell) if cell else []
@@ -333,10 +366,10 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["hi", "lo"])
 
 
-def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs of rows (i, j), those of a spanning forest of the labels that agree most."""
     order = np.argsort(agree, kind="stable")
-    i, j = i[order], j[order]
+    i, j, agree = i[order], j[order], agree[order]
     kept: list[np.ndarray] = []
     label = np.unique(label, return_inverse=True)[1]
     left = np.arange(len(i))
@@ -361,7 +394,7 @@ def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, label: np.ndarray)
             up = up[up]
         label = up[label]
     at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-    return i[at], j[at]
+    return i[at], j[at], agree[at]
 
 
 def _close(sketch: np.ndarray, size: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, least: int, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -379,7 +412,7 @@ def _close(sketch: np.ndarray, size: np.ndarray, label: np.ndarray, left: np.nda
 
 CELL = "key long, x long, y long, side int, inner boolean, rid long, class long, size long, sketch binary"
 #: A pair of documents to be compared, the one with more partners as hub; or, where a cell has many, a member of a block of texts.
-FOUND = "hub long, rid long, key long, blocks long"
+FOUND = "hub long, rid long, key long, size long"
 
 
 def _candidates(similar: float, every: bool) -> Callable:
@@ -389,30 +422,45 @@ def _candidates(similar: float, every: bool) -> Callable:
     """
     least = least_agreement(similar)
 
+    def met(cell: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, _, inner, _, label, size, sketch = cell
+        if len(right):
+            yield from _close(sketch, size, label, left, right, least, similar)
+        if inner[0]:
+            for i, j, agree in _close(sketch, size, label, left, left, least, similar):
+                yield i[i < j], j[i < j], agree[i < j]
+
     def of(cell: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, side, inner, rid, label, size, sketch = cell
+        key, side, _, rid, label, size, _ = cell
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if (label == label[0]).all():
             return
-        parts = list(_close(sketch, size, label, left, right, least, similar)) if len(right) else []
-        if inner[0]:
-            parts += [(i[i < j], j[i < j], w[i < j]) for i, j, w in _close(sketch, size, label, left, left, least, similar)]
-        i, j, agree = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
-        if not len(i):
+        held, many = [], np.zeros(len(rid), bool)
+        n = 0
+        for i, j, agree in met(cell, left, right):
+            held.append((i, j, agree))
+            n += len(i)
+            if every and n > DENSE * len(rid):
+                for i, j, _ in held:
+                    many[i], many[j] = True, True
+                held = []
+            elif not every and n > HELD:
+                held = [_forest(*(np.concatenate(x) for x in zip(*held, strict=True)), label)]
+                n = len(held[0][0])
+        if not n:
             return
-        if not every:
-            i, j = _forest(i, j, agree, label)
-        elif len(i) > DENSE * len(rid):
-            own = np.unique(np.concatenate([i, j]))
-            blocks = max(-(-len(own) // TEXTS), -(-int(size[own].sum()) // BLOCK))
-            none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(rid[own]), pa.array(key[own]), pa.array(np.full(len(own), blocks, np.int64))], names=["hub", "rid", "key", "blocks"])
+        if many.any():
+            own = np.flatnonzero(many)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(rid[own]), pa.array(key[own]), pa.array(size[own])], names=["hub", "rid", "key", "size"])
             return
+        i, j, agree = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not every:
+            i, j, _ = _forest(i, j, agree, label)
         degree = np.bincount(np.concatenate([i, j]), minlength=len(rid))
         turn = (degree[j] > degree[i]) | ((degree[j] == degree[i]) & (rid[j] < rid[i]))
         i, j = np.where(turn, j, i), np.where(turn, i, j)
         none = pa.nulls(len(i), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j]), none, none], names=["hub", "rid", "key", "blocks"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j]), none, none], names=["hub", "rid", "key", "size"])
 
     def few(cols: list[np.ndarray], start: np.ndarray, n: int) -> pa.RecordBatch | None:
         """All pairs of the cells of n rows that begin at start."""
@@ -426,7 +474,7 @@ def _candidates(similar: float, every: bool) -> Callable:
         i, j = i[use], j[use]
         lo, hi = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
         none = pa.nulls(len(i), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), none, none], names=["hub", "rid", "key", "blocks"]) if len(i) else None
+        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), none, none], names=["hub", "rid", "key", "size"]) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -468,13 +516,11 @@ def _verified(similar: float, weighted: bool) -> Callable:
     """Rows (hub, salt, is_hub, rid, z), a hub before its partners: links (hi, lo) of those similar to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         own = None
         for batch in sliced(batches):
             found: list[tuple[int, int]] = []
-            for hub, is_hub, rid, z in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                raw = np.frombuffer(unpack.decompress(z), np.uint8)
-                got = weighed(symbols_of("words", raw, np.array([0, len(raw)]))[0], weighted)
+            hubs, are_hubs, rids, packed = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+            for hub, is_hub, rid, got in zip(hubs, are_hubs, rids, unpacked(packed, weighted), strict=True):
                 if is_hub:
                     own = got
                 elif similarity(own, got) >= similar:
@@ -521,16 +567,31 @@ class Rounds:
         links = sent.mapInArrow(lambda batches: local_stars(verified(batches)), "hi long, lo long")
         dense = found.where("hub is null")
         if every and not dense.isEmpty():
-            links = links.unionByName(self.dense(dense.join(cells.select("rid", "class"), "rid")))
+            links = links.unionByName(self.dense(dense.join(cells.select("rid", "class"), "rid").select("rid", "key", "size", "class"), name))
         if self.root is not None:
             links = self.root.unionByName(links)
         self.root = components(links, s, name)
-        s.drop(f"{name}-found", f"{name}-pairs", f"{name}-hubs")
-
-    def dense(self, rows: DataFrame) -> DataFrame:
-        """Links among rows (rid, key, blocks, class), all of whose texts of a key meet block by block."""
+        s.drop(*[f"{name}-{x}" for x in ("found", "pairs", "hubs", "dense", "keys", "sets")])
+
+    def joined(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows (rid, key, size, class), keys that share members made one where all its pairs are no more than the keys' own."""
+        each = self.scratch.save(rows.distinct(), f"{name}-dense")
+        first = each.groupBy("rid").agg(F.min("key").alias("first"))
+        keys = each.join(first, "rid").groupBy("key").agg(F.min("first").alias("set"), F.count(F.lit(1)).alias("n"))
+        keys = self.scratch.save(keys, f"{name}-keys")
+        as_set = each.join(keys, "key").select("rid", "set").distinct().groupBy("set").agg(F.count(F.lit(1)).alias("all"))
+        apart = keys.groupBy("set").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+        joined = as_set.join(apart, "set").where(F.col("all").cast("double") * F.col("all") <= F.col("pairs")).select("set", F.lit(True).alias("joined"))
+        keys = keys.join(joined, "set", "left").select("key", F.when(F.col("joined"), F.col("set")).otherwise(F.col("key")).alias("set"))
+        return self.scratch.save(each.join(keys, "key").select("rid", "class", "size", F.col("set").alias("key")).distinct(), f"{name}-sets")
+
+    def dense(self, rows: DataFrame, name: str) -> DataFrame:
+        """Links among rows (rid, key, size, class), all of whose texts of a key meet block by block."""
+        each = self.joined(rows, name)
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TEXTS, F.sum("size") / BLOCK)).cast("long")
+        each = each.join(each.groupBy("key").agg(blocks.alias("blocks")), "key")
         at = F.struct("key", "blocks", F.expr("pmod(xxhash64(rid, key), blocks)").alias("block"))
-        wanted = rows.groupBy("rid", "class").agg(F.collect_set(at).alias("at"))
+        wanted = each.groupBy("rid", "class").agg(F.collect_set(at).alias("at"))
         own = self.texts.join(wanted, "rid").select("class", "z", F.explode("at").alias("at")).select("class", "z", "at.*")
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         own = own.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "class", "z")

@@ -101,3 +101,79 @@ def test_split_buckets_are_compared_across_their_blocks(spark, monkeypatch):
     rows = stars(5, 1, 1000, 184)  # each copy is 0.8 to its text, so all are one class
     got = near_dups.near_dups(spark.createDataFrame([(i, t, "c") for i, t in rows], SCHEMA)).select("class_id").distinct()
     assert got.count() == 1
+
+
+def test_buckets_of_one_group_are_compared_once(spark):
+    from quillon.llm.common import Scratch
+
+    group = [(rid, key, 9, rid) for key in (3, 5, 8, 13) for rid in range(40) if (rid + key) % 7]
+    apart = [(rid, 20, 9, rid) for rid in range(100, 110)] + [(rid, 21, 9, rid) for rid in range(109, 119)]
+    scratch = Scratch(spark, "test")
+    rounds = near_dups.Rounds(spark.createDataFrame([(0, "a")], "__q_rid long, text string"), None, None, scratch, 0.8, True)
+    rows = group + apart
+    got = rounds.joined(spark.createDataFrame(rows, "rid long, key long, size long, class long"), "t").select("key", "rid").collect()
+    scratch.drop("")
+    assert sorted(map(tuple, got)) == [(3, rid) for rid in range(40)] + sorted((key, rid) for rid, key, _, _ in apart)
+
+
+def test_large_group_of_unlike_copies_is_read_once_a_block(spark, monkeypatch):
+    """Copies that are less than 0.8 to each other meet in many bands; a text goes once to each block of its set."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        at = rng.sample(range(150), 3)
+        rows.append((i, " ".join(f"r{i}k{k}" if k in at else w for k, w in enumerate(base))))
+    sent = []
+    dense = near_dups.Rounds.joined
+
+    def counted(self, met, name):
+        out = dense(self, met, name)
+        sent.append((out.count(), out.select("rid").distinct().count()))
+        return out
+
+    monkeypatch.setattr(near_dups.Rounds, "joined", counted)
+    assert lost(spark, rows) == 0
+    assert sent and all(all_rows <= 2 * texts for all_rows, texts in sent)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_texts_read_together(weighted, monkeypatch):
+    import zstandard
+
+    from quillon.llm.anchors import symbols_of
+
+    monkeypatch.setattr(near_dups, "BYTES", 60)
+    texts = ["", "a", "a a a a", "a b c d e", "a a a a a a a a", " \n", "x" * 300 + " b c d e f", "a b c d e f g h i j k", "\u00e9 a"]
+    got = list(near_dups.unpacked([zstandard.compress(t.encode()) for t in texts], weighted))
+    assert len(got) == len(texts)
+    for text, (elements, weights) in zip(texts, got, strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        want = near_dups.weighed(symbols_of("words", raw, np.array([0, len(raw)]))[0], weighted)
+        assert elements.tolist() == want[0].tolist() and weights.tolist() == want[1].tolist()
+    assert list(near_dups.unpacked([], weighted)) == []
+
+
+def test_forest_of_parts_joins_what_all_pairs_join(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, near_dups.COORDINATES).astype(np.uint8)
+    rows = []
+    for i in range(700):
+        own = base.copy()
+        own[rng.choice(128, int(rng.integers(0, 60)), replace=False)] ^= 1 + i % 5
+        rows.append({"key": 1, "x": 0, "y": 0, "side": 0, "inner": True, "rid": i, "class": i, "size": 100, "sketch": own.tobytes()})
+
+    def classes():
+        up = list(range(len(rows)))
+        links = [r for b in near_dups._candidates(0.8, False)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+        for r in links:  # each joins two classes
+            a, b = up[r["hub"]], up[r["rid"]]
+            if a != b:
+                up = [min(a, b) if x in (a, b) else x for x in up]
+        return up
+
+    whole = classes()
+    monkeypatch.setattr(near_dups, "HELD", 50)
+    assert classes() == whole and len(set(whole)) < len(rows)
