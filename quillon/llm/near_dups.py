@@ -412,7 +412,8 @@ def _close(sketch: np.ndarray, size: np.ndarray, label: np.ndarray, left: np.nda
 
 CELL = "key long, x long, y long, side int, inner boolean, rid long, class long, size long, sketch binary"
 #: A pair of documents to be compared, the one with more partners as hub; or, where a cell has many, a member of a block of texts.
-FOUND = "hub long, rid long, key long, size long"
+FOUND = "hub long, rid long, key long, size long, class long"
+_FOUND = ["hub", "rid", "key", "size", "class"]
 
 
 def _candidates(similar: float, every: bool) -> Callable:
@@ -451,7 +452,7 @@ def _candidates(similar: float, every: bool) -> Callable:
             return
         if many.any():
             own = np.flatnonzero(many)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(rid[own]), pa.array(key[own]), pa.array(size[own])], names=["hub", "rid", "key", "size"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(rid[own]), pa.array(key[own]), pa.array(size[own]), pa.array(label[own])], names=_FOUND)
             return
         i, j, agree = (np.concatenate(x) for x in zip(*held, strict=True))
         if not every:
@@ -460,7 +461,7 @@ def _candidates(similar: float, every: bool) -> Callable:
         turn = (degree[j] > degree[i]) | ((degree[j] == degree[i]) & (rid[j] < rid[i]))
         i, j = np.where(turn, j, i), np.where(turn, i, j)
         none = pa.nulls(len(i), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j]), none, none], names=["hub", "rid", "key", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j]), none, none, none], names=_FOUND)
 
     def few(cols: list[np.ndarray], start: np.ndarray, n: int) -> pa.RecordBatch | None:
         """All pairs of the cells of n rows that begin at start."""
@@ -474,7 +475,7 @@ def _candidates(similar: float, every: bool) -> Callable:
         i, j = i[use], j[use]
         lo, hi = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
         none = pa.nulls(len(i), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), none, none], names=["hub", "rid", "key", "size"]) if len(i) else None
+        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), none, none, none], names=_FOUND) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -567,7 +568,7 @@ class Rounds:
         links = sent.mapInArrow(lambda batches: local_stars(verified(batches)), "hi long, lo long")
         dense = found.where("hub is null")
         if every and not dense.isEmpty():
-            links = links.unionByName(self.dense(dense.join(cells.select("rid", "class"), "rid").select("rid", "key", "size", "class"), name))
+            links = links.unionByName(self.dense(dense.select("rid", "key", "size", "class"), name))
         if self.root is not None:
             links = self.root.unionByName(links)
         self.root = components(links, s, name)
@@ -579,11 +580,13 @@ class Rounds:
         first = each.groupBy("rid").agg(F.min("key").alias("first"))
         keys = each.join(first, "rid").groupBy("key").agg(F.min("first").alias("set"), F.count(F.lit(1)).alias("n"))
         keys = self.scratch.save(keys, f"{name}-keys")
-        as_set = each.join(keys, "key").select("rid", "set").distinct().groupBy("set").agg(F.count(F.lit(1)).alias("all"))
+        sets = each.join(keys, "key").groupBy("rid", "class", "size", "set").agg(F.collect_list("key").alias("keys"))
+        sets = self.scratch.save(sets, f"{name}-sets")
+        as_set = sets.groupBy("set").agg(F.count(F.lit(1)).alias("all"))
         apart = keys.groupBy("set").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
         joined = as_set.join(apart, "set").where(F.col("all").cast("double") * F.col("all") <= F.col("pairs")).select("set", F.lit(True).alias("joined"))
-        keys = keys.join(joined, "set", "left").select("key", F.when(F.col("joined"), F.col("set")).otherwise(F.col("key")).alias("set"))
-        return self.scratch.save(each.join(keys, "key").select("rid", "class", "size", F.col("set").alias("key")).distinct(), f"{name}-sets")
+        own = F.when(F.col("joined"), F.array("set")).otherwise(F.col("keys"))
+        return sets.join(joined, "set", "left").select("rid", "class", "size", F.explode(own).alias("key"))
 
     def dense(self, rows: DataFrame, name: str) -> DataFrame:
         """Links among rows (rid, key, size, class), all of whose texts of a key meet block by block."""

@@ -137,6 +137,49 @@ def test_large_group_of_unlike_copies_is_read_once_a_block(spark, monkeypatch):
     assert sent and all(all_rows <= 2 * texts for all_rows, texts in sent)
 
 
+def joined_by_key(spark, run):
+    """Rows that joins by bucket made while run ran."""
+    import re
+
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList(before, store.executionsCount() - before)
+    for i in range(done.size()):
+        number = done.apply(i).executionId()
+        made, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in [nodes.apply(k) for k in range(nodes.size())]:
+            if "Join" in node.name() and re.search(r"\[key#\d+L\], \[key#\d+L\], Inner", node.desc()):
+                for k in range(node.metrics().size()):
+                    metric = node.metrics().apply(k)
+                    if metric.name() == "number of output rows" and made.contains(metric.accumulatorId()):
+                        total += int(made.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_joins_by_bucket_grow_as_the_group(spark, monkeypatch):
+    """No join by bucket makes more rows than documents stand in buckets, nor is one made twice."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(150)]
+    met, made = [], []
+    first = near_dups.Rounds.largest
+
+    def counted(self):
+        met.append(self.met.count())
+        first(self)
+
+    monkeypatch.setattr(near_dups.Rounds, "largest", counted)
+    for n in (240, 480):
+        rows = []
+        for i in range(n):
+            at = rng.sample(range(150), 3)
+            rows.append((i, " ".join(f"r{i}k{k}" if k in at else w for k, w in enumerate(base)), "c"))
+        made.append(joined_by_key(spark, lambda rows=rows: near_dups.near_dups(spark.createDataFrame(rows, SCHEMA)).count()))
+    assert all(n <= 5 * stand for n, stand in zip(made, met, strict=True))  # buckets, leaders, everything, sets and blocks
+    assert 0 < met[0] < made[0] and made[1] <= 2.5 * made[0], (made, met)
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_texts_read_together(weighted, monkeypatch):
     import zstandard
