@@ -4,7 +4,8 @@ Two tiers: a minimal perfect hash (compress, hash, displace) over the
 vocabulary's byte strings resolves whole pre-tokens in one probe that is
 confirmed against the stored string; a miss is merged by a heap of adjacent
 pairs over a doubly linked list of its bytes, lowest rank first, leftmost on
-ties, in n log n even for a pre-token of megabytes. Answers for recent
+ties, in n log n even for a pre-token of megabytes; a short one's least pair is
+sought in a plain list, which gives the same and costs less. Answers for recent
 pre-tokens are kept in a table of bounded size.
 
 Cases: null and empty texts give no ids; texts are encoded whole; strings that
@@ -34,6 +35,8 @@ from quillon.llm.common import packed_row, sliced, table
 
 #: Pre-tokens whose ids a worker keeps.
 MEMO = 300_000
+#: Bytes of a pre-token up to which it is merged in a plain list; no rank is so high.
+SHORT, NONE = 32, 1 << 62
 
 
 class PerfectHash:
@@ -87,23 +90,26 @@ class PerfectHash:
 
 
 class Recent(dict):
-    """A table of bounded size of answers for recent pre-tokens."""
+    """A table of bounded size of answers for recent pre-tokens; when half is full, what came before is dropped unless used since."""
 
     def __init__(self, of: Callable):
         super().__init__()
-        self.of = of
+        self.of, self.older = of, {}
 
     def __missing__(self, token: str):
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
             self.clear()
-        got = self.of(token)
+        got = self.older.get(token)
+        if got is None:
+            got = self.of(token)
         if len(token) <= 64:
             self[token] = got
         return got
 
 
 class Coder:
-    """Encodes pre-tokens, decodes ids, and knows recent pre-tokens' ids, their digits and what they decode to."""
+    """Encodes pre-tokens, decodes ids, and knows recent pre-tokens' ids, or their digits and what they decode to."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         keys = list(ranks)
@@ -121,11 +127,10 @@ class Coder:
 
     def forget(self) -> None:
         self.known = Recent(self.look_up)
-        self.digits = Recent(lambda token: ",".join(map(str, self.known[token])))
-        self.back = Recent(lambda token: self.decode(self.known[token]))
+        self.shown = Recent(self.show)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "digits", "back")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "shown")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -133,6 +138,8 @@ class Coder:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         n, joint = len(piece), self.joint.get
+        if n <= SHORT:
+            return self.merge_short(piece)
         ids = list(map(self.single.__getitem__, piece))  # a node is known by its first byte; -1: joined to one before
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [r << 32 | i for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := joint(pair, -1)) >= 0]
@@ -153,6 +160,21 @@ class Coder:
                 heappush(heap, r2 << 32 | h)
         return tuple([x for x in ids if x >= 0])
 
+    def merge_short(self, piece: bytes) -> tuple[int, ...]:
+        joint = self.joint.get
+        ids = [self.single[b] for b in piece]
+        ranks = [joint(pair, NONE) for pair in zip(ids, ids[1:], strict=False)]  # of each id with the next; the last has none
+        ranks.append(NONE)
+        while (r := min(ranks)) < NONE:
+            i = ranks.index(r)
+            ids[i] = r
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = joint((ids[i - 1], r), NONE)
+            if i + 1 < len(ids):
+                ranks[i] = joint((r, ids[i + 1]), NONE)
+        return tuple(ids)
+
     def look_up(self, token: str) -> tuple[int, ...]:
         piece = token.encode()
         whole = self.tier.get(piece)
@@ -164,7 +186,13 @@ class Coder:
     def round_trip(self, text: str | None) -> tuple[str, bytes]:
         """The ids of a text, as numbers with commas between, and the bytes that they decode to."""
         tokens = self.pattern.findall(text) if text else []
-        return ",".join(map(self.digits.__getitem__, tokens)), b"".join(map(self.back.__getitem__, tokens))
+        shown = list(map(self.shown.__getitem__, tokens))
+        return ",".join([digits for digits, _ in shown]), b"".join([raw for _, raw in shown])
+
+    def show(self, token: str) -> tuple[str, bytes]:
+        """The digits of a pre-token's ids, and the bytes that these ids decode to."""
+        ids = self.look_up(token)
+        return ",".join(map(str, ids)), self.decode(ids)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -250,6 +250,29 @@ def test_heap_on_a_very_long_pretoken():
     assert coder.decode(coder.encode(text)) == text.encode()
 
 
+def test_short_pretokens_merge_as_by_the_heap(monkeypatch):
+    coder = bpe.Coder(bpe.load_ranks(MULTI), public_tokenizers.PATTERN)
+    rng = random.Random(12)
+    pieces = [bytes(rng.choices(b"aabehinorst \xc3\xa9\xff", k=rng.randint(1, bpe.SHORT + 3))) for _ in range(3000)] + [b"a" * n for n in range(1, bpe.SHORT + 2)]
+    got = [coder.merge(p) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert got == [coder.merge(p) for p in pieces]
+
+
+def test_frequent_pretokens_are_merged_once(monkeypatch):
+    """A full table keeps what is in use, and a round trip looks a pre-token up once."""
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    coder = bpe.Coder(bpe.load_ranks(MULTI), public_tokenizers.PATTERN)
+    looked, look_up = [], coder.look_up
+    monkeypatch.setattr(coder, "look_up", lambda token: looked.append(token) or look_up(token))
+    coder.forget()
+    text = " ".join(f"qxzvw {'qj' * 3}{''.join(chr(97 + i // 26 ** k % 26) for k in range(3))}" for i in range(200))
+    ids, raw = coder.round_trip(text)
+    assert raw == text.encode() and ids == ",".join(map(str, tiktoken_of(MULTI).encode_ordinary(text)))
+    assert looked.count(" qxzvw") == 1 and len(looked) == 202
+    assert len(coder.shown) + len(coder.shown.older) <= 40
+
+
 # 9 media
 
 
