@@ -99,6 +99,37 @@ def test_cover_holds_all_differences():
     assert {int((a - b) % suffix_array.PERIOD) for a in c for b in c} == set(range(suffix_array.PERIOD))
 
 
+def test_ranks_are_those_of_one_sort_by_all_keys(monkeypatch):
+    """Keys are sorted one at a time, never together; ranks that are too wide to be joined are made dense first."""
+    rng = np.random.default_rng(21)
+    n = 4000
+    wide = rng.choice(rng.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2) + np.uint64(1), n)  # above and below 2^63
+    keys = [wide, rng.integers(-1, 5, n), rng.integers(-1, 1 << 40, 9)[rng.integers(0, 9, n)], rng.integers(-1, 1 << 40, 3)[rng.integers(0, 3, n)], rng.permutation(wide)]
+    rows = list(zip(*[k.tolist() for k in keys], strict=True))
+    number = {row: i for i, row in enumerate(sorted(set(rows)))}
+    want = [number[row] for row in rows]
+
+    def together(*_, **__):
+        raise AssertionError("sorts by several keys at once")
+
+    monkeypatch.setattr(np, "lexsort", together)
+    assert suffix_array._dense(*keys).tolist() == want
+    assert suffix_array._dense(keys[0][:0], keys[1][:0]).tolist() == []
+    text = rng.choice(np.frombuffer(b"ab\xff", np.uint8), 600)
+    text = np.concatenate([text, text[:300], np.zeros(64, np.uint8)])  # what repeats lies 600 apart: residues differ
+    text = np.concatenate([text, np.zeros(-len(text) % suffix_array.PERIOD, np.uint8), text])
+    at = np.arange(0, 800)
+    at = np.concatenate([at, at + len(text) - 964])
+    groups = {}
+    for own, group in suffix_array.sorted_ties(text, at, 100):
+        for i, g in zip(own.tolist(), group.tolist(), strict=True):
+            groups.setdefault(g, set()).add(int(at[i]))
+    equal = {}
+    for p in at.tolist():
+        equal.setdefault((text[p : p + 100].tobytes(), p % suffix_array.PERIOD), set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for x in equal.values() if len(x) > 1) and groups
+
+
 def test_sorted_ties_by_small_buckets():
     rng = np.random.default_rng(5)
     piece = rng.integers(0, 3, 400).astype(np.uint8)
