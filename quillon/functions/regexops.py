@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: What a word is (ASCII letters only). Possessive, since giving back never helps.
 WORD = r"[A-Za-z0-9]++(?:[’'][A-Za-z0-9]++)*+(?:-[A-Za-z0-9]++)*+"
 SPACE = r"(?U)\s"
+#: Unicode's white space, for Python, whose own also has the separators 1C to 1F.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPANS = "array<struct<start:int,end:int>>"
 
 

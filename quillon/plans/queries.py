@@ -30,9 +30,9 @@ def _docs(spark, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _segments(spark, sf_dir: str) -> DataFrame:
-    """The segmented plain text of all documents."""
-    return segments.segmented(projected(seeds.plain(_docs(spark, sf_dir))))
+def _units(spark, sf_dir: str, units: str, *fields: str) -> DataFrame:
+    """Units of the plain text of all documents."""
+    return segments.units_of(seeds.plain(_docs(spark, sf_dir)), units, *fields)
 
 
 def line_width(spark, sf_dir):
@@ -59,32 +59,32 @@ def word_counts(spark, sf_dir):
 
 
 def paragraphs(spark, sf_dir):
-    return segments.units_table(_segments(spark, sf_dir), "paragraphs").select("doc_id", F.col("idx").cast("long"), F.col("words").cast("long"), "text")
+    return segments.units_table(_units(spark, sf_dir, "paragraphs", "words", "text"), "paragraphs").select("doc_id", F.col("idx").cast("long"), F.col("words").cast("long"), "text")
 
 
 def sentences(spark, sf_dir):
-    return segments.units_table(_segments(spark, sf_dir), "sentences").select("doc_id", F.col("idx").cast("long"), F.col("words").cast("long"), "text")
+    return segments.units_table(_units(spark, sf_dir, "sentences", "words", "text"), "sentences").select("doc_id", F.col("idx").cast("long"), F.col("words").cast("long"), "text")
 
 
 def sentence_variation(spark, sf_dir):
-    df = _segments(spark, sf_dir).select("doc_id", checks.variation(F.col("sentences")).alias("v")).where("v.n >= 10")
+    df = _units(spark, sf_dir, "sentences", "words").select("doc_id", checks.variation(F.col("sentences")).alias("v")).where("v.n >= 10")
     return df.select("doc_id", F.col("v.n").cast("long").alias("n"), F.round("v.mean", 6).alias("mean_words"), F.round("v.cv", 6).alias("cv"))
 
 
 def short_sentence_runs(spark, sf_dir):
     keys = F.transform("sentences", lambda s: F.when(s["words"] <= 5, s["section"]))
-    df = _segments(spark, sf_dir).select("doc_id", F.explode_outer(equal_runs(keys, 3)).alias("r")).where("r is not null")
+    df = _units(spark, sf_dir, "sentences", "words", "section").select("doc_id", F.explode_outer(equal_runs(keys, 3)).alias("r")).where("r is not null")
     return df.select("doc_id", F.col("r.first").cast("long").alias("first"), F.col("r.n").cast("long").alias("n"))
 
 
 def opener_runs(spark, sf_dir):
-    df = _segments(spark, sf_dir).select("doc_id", let(F.transform("sentences", checks._opener), lambda k: F.transform(equal_runs(k, 2), lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"), F.get(k, r["first"]).alias("key")))).alias("runs"))
+    df = _units(spark, sf_dir, "sentences", "section", "opener").select("doc_id", let(F.transform("sentences", checks._opener), lambda k: F.transform(equal_runs(k, 2), lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"), F.get(k, r["first"]).alias("key")))).alias("runs"))
     df = df.select("doc_id", F.explode_outer("runs").alias("r")).where("r is not null")
     return df.select("doc_id", F.col("r.first").cast("long").alias("first"), F.col("r.n").cast("long").alias("n"), F.regexp_extract("r.key", r"^\d+\|(.*)$", 1).alias("opener"))
 
 
 def echoed_clauses(spark, sf_dir):
-    df = segments.segmented(projected(seeds.seeded_plain(_docs(spark, sf_dir))))
+    df = segments.units_of(seeds.seeded_plain(_docs(spark, sf_dir)), "sentences", "start", "end", "text")
     df = df.select("doc_id", F.inline_outer(checks.echoed_clauses({"minimum_clauses": 2, "maximum_clauses": 5}))).where("n is not null")
     return df.select("doc_id", F.col("n").cast("long"), "detail")
 
@@ -139,7 +139,7 @@ def projection(spark, sf_dir):
 
 
 def suppression_scopes(spark, sf_dir):
-    df = projected(cases.appended(_docs(spark, sf_dir), [t for t, _ in cases.SCOPES]))
+    df = projected(cases.appended(_docs(spark, sf_dir), [t for t, _ in cases.SCOPES]), wanted=("suppression",))
     df = df.select("doc_id", F.inline_outer(scopes(F.col("suppression")))).where("selector is not null")
     return df.select("doc_id", "selector", F.col("from").cast("long"), F.col("to").cast("long"))
 
