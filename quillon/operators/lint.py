@@ -2,33 +2,32 @@
 
 Per document everything happens in its own row: no shuffle until an order or a
 count over documents is asked for. The same plan runs on a stream.
+All rules run in one pass in Python (see passes), which returns only findings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import checks
-from quillon.operators.projection import projected
-from quillon.operators.segments import located, segmented
-from quillon.operators.suppress import scopes, suppressed
+from quillon.functions.batches import piecewise
+from quillon.operators.passes import FOUND_DDL, Linter, found
 from quillon.plans.catalogue import FAIL_LEVELS, RULES, Active, rank, resolve
 
 
 def per_document(docs: DataFrame, rules: Sequence[Active], key: str = "doc_id") -> DataFrame:
-    """(key, text, scopes, findings) with all findings of a document, before suppression."""
-    active = [a for a in rules if a.severity != "off"]
+    """(key, findings) with the findings of a document that its directives don't suppress, and their places."""
+    active, made = [a for a in rules if a.severity != "off"], []
 
-    def numbered(i: int):
-        return lambda f: F.struct(F.lit(i).alias("rule_no"), f["start"].alias("start"), f["end"].alias("end"), f["n"].alias("n"), f["detail"].alias("detail"))
+    def of(texts: list[str | None]) -> pa.Array:
+        if not made:  # in each worker
+            made.append(Linter(active))
+        return found(made[0], texts)
 
-    parts = [F.transform(checks.check(a), numbered(i)) for i, a in enumerate(active)]
-    df = checks.with_hits(segmented(projected(docs.select(key, "text"))), active)
-    none = F.array().cast("array<struct<rule_no:int,start:int,end:int,n:int,detail:string>>")
-    return df.select(key, "text", scopes(F.col("suppression")).alias("scopes"), F.concat(*parts).alias("findings") if parts else none.alias("findings"))
+    return docs.select(key, piecewise(of, FOUND_DDL)(F.col("text").cast("string")).alias("findings"))
 
 
 def lint(docs: DataFrame, rules: Sequence[Active] | None = None, key: str = "doc_id") -> DataFrame:
@@ -40,12 +39,9 @@ def lint(docs: DataFrame, rules: Sequence[Active] | None = None, key: str = "doc
     """
     rules = resolve() if rules is None else rules
     active = [a for a in rules if a.severity != "off"]
-    df = per_document(docs, rules, key).select(key, "text", "scopes", F.inline_outer("findings")).where("rule_no is not null")
-    names = F.array(*[F.lit(a.rule.id) for a in active]) if active else F.array(F.lit(""))
+    df = per_document(docs, rules, key).select(key, F.inline_outer("findings")).where("rule_no is not null")
     column = lambda of: F.get(F.array(*[F.lit(of(a)) for a in active] or [F.lit("")]), F.col("rule_no"))
-    df = located(df.withColumn("rule", F.get(names, F.col("rule_no"))))
-    df = df.where(~suppressed(F.col("scopes"), F.col("line"), F.col("rule")))
-    df = df.withColumns({"severity": column(lambda a: a.severity), "suggestion": column(lambda a: a.rule.advice), "message": message(column(lambda a: a.rule.summary))})
+    df = df.withColumns({"rule": column(lambda a: a.rule.id), "severity": column(lambda a: a.severity), "suggestion": column(lambda a: a.rule.advice), "message": message(column(lambda a: a.rule.summary))})
     return df.select(key, "line", "column", "end_line", "end_column", "severity", "rule", "message", "suggestion", "start", "end", "n", "detail")
 
 

@@ -58,6 +58,7 @@ def test_pieces_hold_all_rows_in_order():
 
 QUERIES = [
     "sentences",
+    "findings",
 ]
 
 
