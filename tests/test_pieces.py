@@ -59,6 +59,7 @@ def test_pieces_hold_all_rows_in_order():
 QUERIES = [
     "sentences",
     "findings",
+    "findings_summary",
 ]
 
 
