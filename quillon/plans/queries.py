@@ -14,7 +14,7 @@ from quillon.functions.regexops import let, mask_matches
 from quillon.functions.windows import equal_runs
 from quillon.operators import checks, metrics, segments
 from quillon.operators.debold import debolded
-from quillon.operators.lint import lint, rules_table, summary, verdicts
+from quillon.operators.lint import lint, lint_in_order, rules_table, summary, verdicts
 from quillon.operators.projection import projected
 from quillon.operators.suppress import scopes
 from quillon.plans import cases, seeds
@@ -178,7 +178,11 @@ def document_verdicts(spark, sf_dir):
 
 
 def _reported(sink: Callable) -> Callable:
-    return lambda spark, sf_dir: sink(lint(seeds.seeded(_docs(spark, sf_dir))).withColumnRenamed("doc_id", "path"))
+    def report(spark, sf_dir):
+        docs = seeds.seeded(_docs(spark, sf_dir)).withColumnRenamed("doc_id", "path")
+        return sink(lint_in_order(docs, key="path"), in_order=True)
+
+    return report
 
 
 def links_missing(spark, sf_dir):

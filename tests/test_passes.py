@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import checks, projection
-from quillon.operators.lint import lint
+from quillon.operators.lint import lint, lint_in_order, ordered
 from quillon.operators.passes import Linter, finder, found, needed
 from quillon.operators.projection import projected
 from quillon.operators.segments import located, segmented
@@ -13,6 +13,8 @@ from quillon.plans.catalogue import resolve
 
 from test_pieces import frame, mixed, peak
 
+DATA = "/root/testdata/sf0.001"
+
 
 def by_expressions(docs, rules):
     """Findings by the native expressions of checks, on segmented documents."""
@@ -47,3 +49,14 @@ def test_memory_of_lint_follows_the_piece():
     linter, text = Linter(resolve()), "We walk up the hill (see it) in order to see **it** all. " * 40
     small, large = (peak(lambda t: found(linter, t), [text] * n) for n in (125, 600))
     assert large < 1.5 * small
+
+
+def test_reports_are_linted_once(spark):
+    docs = frame(spark, mixed(200, 9)).repartition(3)
+    assert lint_in_order(docs).collect() == ordered(lint(docs)).collect()
+    import __spark_entry__
+
+    for name in ("report_text", "report_json", "report_annotations"):
+        plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+        above = plan[: plan.index("ArrowEvalPython")]
+        assert "Exchange" not in above and "Sort [" in above and ", true" not in above[above.index("Sort [") :].split("\n")[0]

@@ -60,6 +60,7 @@ QUERIES = [
     "sentences",
     "findings",
     "findings_summary",
+    "report_json",
 ]
 
 
