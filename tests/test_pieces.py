@@ -61,6 +61,7 @@ QUERIES = [
     "findings",
     "findings_summary",
     "report_json",
+    "findings_by_rule",
 ]
 
 
