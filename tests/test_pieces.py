@@ -62,6 +62,7 @@ QUERIES = [
     "findings_summary",
     "report_json",
     "findings_by_rule",
+    "report_annotations",
 ]
 
 
