@@ -63,6 +63,7 @@ QUERIES = [
     "report_json",
     "findings_by_rule",
     "report_annotations",
+    "findings_recommended",
 ]
 
 
