@@ -64,6 +64,7 @@ QUERIES = [
     "findings_by_rule",
     "report_annotations",
     "findings_recommended",
+    "paragraphs",
 ]
 
 
