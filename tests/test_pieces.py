@@ -65,6 +65,7 @@ QUERIES = [
     "report_annotations",
     "findings_recommended",
     "paragraphs",
+    "report_text",
 ]
 
 
