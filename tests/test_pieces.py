@@ -66,6 +66,7 @@ QUERIES = [
     "findings_recommended",
     "paragraphs",
     "report_text",
+    "document_verdicts",
 ]
 
 
