@@ -67,6 +67,7 @@ QUERIES = [
     "paragraphs",
     "report_text",
     "document_verdicts",
+    "loaded_words",
 ]
 
 
