@@ -68,6 +68,7 @@ QUERIES = [
     "report_text",
     "document_verdicts",
     "loaded_words",
+    "contrasts_questions_lists",
 ]
 
 
