@@ -69,6 +69,7 @@ QUERIES = [
     "document_verdicts",
     "loaded_words",
     "contrasts_questions_lists",
+    "opener_runs",
 ]
 
 
