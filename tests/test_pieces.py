@@ -70,6 +70,7 @@ QUERIES = [
     "loaded_words",
     "contrasts_questions_lists",
     "opener_runs",
+    "sentence_variation",
 ]
 
 
