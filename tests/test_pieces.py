@@ -71,6 +71,7 @@ QUERIES = [
     "contrasts_questions_lists",
     "opener_runs",
     "sentence_variation",
+    "projection",
 ]
 
 
