@@ -72,6 +72,7 @@ QUERIES = [
     "opener_runs",
     "sentence_variation",
     "projection",
+    "suppression_scopes",
 ]
 
 
