@@ -73,6 +73,7 @@ QUERIES = [
     "sentence_variation",
     "projection",
     "suppression_scopes",
+    "strip_bold",
 ]
 
 
